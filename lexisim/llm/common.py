@@ -100,9 +100,9 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and the n+1 offsets of rows into them."""
-    ink = ~WHITE[data]
+def word_spans(data: np.ndarray, off: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (of bytes not in ``white``), and the n+1 offsets of rows into them."""
+    ink = ~white[data]
     first, last = ink.copy(), ink.copy()
     if len(ink):
         first[1:] &= ~ink[:-1]

@@ -5,17 +5,108 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisim.llm import quality_rules
+from lexisim.llm import fingerprint, licenses, mixing, quality_rules, sentencepiece, token_counts, url_filter, warc
+
+#: The rules of op8: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Sampled piece ids of every document, and whether decoding gives its text again."""
+    return sentencepiece.encode(_table(spark, folder, "documents"))
+
+
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likenesses."""
+    return fingerprint.compare_with_edits(_table(spark, folder, "documents"))
+
+
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """What the archives written from all pages say of each page."""
+    back = warc.round_trip(_table(spark, folder, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return url_filter.judge(_table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts, score and verdict of every document."""
     return quality_rules.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules,)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files."""
+    return token_counts.count(_table(spark, folder, "documents")).select("doc_id", "n_tokens")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op4_sentencepiece, op5_licenses, op6_fingerprints, op7_warc, op8_url_filter, op9_quality_rules, op10_token_counts)}
+
+_OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS n, sha1(html) AS hex FROM p),
+f AS (SELECT hex, min(page_id) AS first_id FROM h GROUP BY hex),
+b AS (SELECT h.*, first_id, unhex(h.hex)::BIT::VARCHAR AS bits FROM h JOIN f USING (hex))
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (1 + 16 * substr(bits, 5 * k + 1, 1)::INT + 8 * substr(bits, 5 * k + 2, 1)::INT + 4 * substr(bits, 5 * k + 3, 1)::INT
+       + 2 * substr(bits, 5 * k + 4, 1)::INT + substr(bits, 5 * k + 5, 1)::INT)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM b
+"""
+
+
+def _op8() -> str:
+    """The template tree level by level, as ``url_filter`` builds it."""
+    levels, last = [], "leaf0"
+    for k in range(1, url_filter.DEPTH + 2):
+        levels.append(f"""
+part{k} AS (SELECT *, coalesce(string_split(key, '/')[{k}], '') AS part FROM {last}),
+wide{k} AS (SELECT host, template FROM (SELECT DISTINCT host, template, part FROM part{k} WHERE part <> '') GROUP BY ALL HAVING count(*) > {url_filter.FANOUT}),
+leaf{k} AS (SELECT p.host, p.key, p.b, p.l, CASE WHEN part = '' THEN p.template WHEN w.host IS NULL THEN p.template || '/' || part ELSE p.template || '/*' END AS template
+  FROM part{k} p LEFT JOIN wide{k} w ON p.host = w.host AND p.template = w.template),""")
+        last = f"leaf{k}"
+    d, z2 = url_filter.DEPTH, url_filter.Z**2
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+j AS (SELECT *, CASE
+  WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM s),
+v AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said,
+  list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '{url_filter.VARIABLE}') THEN '*' ELSE x END) AS parts FROM j),
+r AS (SELECT page_id, host, path, rule, said, array_to_string(CASE WHEN len(parts) > {d} THEN list_append(parts[1:{d}], '**') ELSE parts END, '/') AS key FROM v),
+leaf0 AS (SELECT host, key, count(*) FILTER (said = 'block') AS b, count(said) AS l, '' AS template FROM r GROUP BY host, key),
+{"".join(levels)}
+n AS (SELECT host, template, regexp_replace(template, '^/[^/]*', '') AS tail, sum(b)::BIGINT AS b, sum(l)::BIGINT AS l FROM {last} GROUP BY ALL HAVING sum(l) > 0),
+o AS (SELECT host, tail, sum(b) AS pb, sum(l) AS pl FROM n GROUP BY ALL),
+a AS (SELECT n.*, (b * pl - pb * l)::DOUBLE * (b * pl - pb * l)::DOUBLE <= {z2!r} * pb::DOUBLE * (pl - pb)::DOUBLE * l::DOUBLE AS alike FROM n JOIN o USING (host, tail)),
+m AS (SELECT host, tail, sum(b) AS mb, sum(l) AS ml FROM a WHERE alike GROUP BY ALL),
+q AS (SELECT a.host, a.template, CASE WHEN alike THEN (mb + 1)::DOUBLE / (ml + 2)::DOUBLE ELSE (b + 1)::DOUBLE / (l + 2)::DOUBLE END AS purity FROM a LEFT JOIN m ON a.host = m.host AND a.tail = m.tail),
+t AS (SELECT x.host, x.key, coalesce(purity, 0.5) AS purity FROM {last} x LEFT JOIN q ON x.host = q.host AND x.template = q.template)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity >= {url_filter.PURITY} THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN t USING (host, key)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op7_warc": _OP7, "op8_url_filter": _op8()}
