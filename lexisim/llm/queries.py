@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisim.llm import fingerprint, licenses, mixing, quality_rules, sentencepiece, token_counts, url_filter, warc
+from lexisim.llm import fingerprint, licenses, mixing, ngram_jaccard, quality_rules, sentencepiece, token_counts, url_filter, warc
 
 #: The rules of op8: verdict, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -20,6 +20,11 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under links of 3-word shingle sets with a similarity of 0.9 or more."""
+    return ngram_jaccard.join(_table(spark, folder, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Sampled piece ids of every document, and whether decoding gives its text again."""
     return sentencepiece.encode(_table(spark, folder, "documents"))
@@ -56,7 +61,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count(_table(spark, folder, "documents")).select("doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_sentencepiece, op5_licenses, op6_fingerprints, op7_warc, op8_url_filter, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_ngram_jaccard, op4_sentencepiece, op5_licenses, op6_fingerprints, op7_warc, op8_url_filter, op9_quality_rules, op10_token_counts)}
 
 _OP7 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -109,4 +114,16 @@ SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity >= {url_filter
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op7_warc": _OP7, "op8_url_filter": _op8()}
+_OP2 = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+e AS (SELECT doc_id, len(s)::BIGINT AS n, unnest(s) AS x FROM s),
+i AS (SELECT a.doc_id AS p, b.doc_id AS q, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT p, q FROM i WHERE 100 * c >= 90 * (n + m - c)),
+b AS (SELECT p, q FROM l UNION ALL SELECT q, p FROM l),
+r AS (SELECT doc_id AS d, doc_id AS to_id FROM s UNION SELECT r.d, b.q FROM r JOIN b ON r.to_id = b.p)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.to_id) AS component_id FROM s JOIN r ON r.d = s.doc_id GROUP BY ALL
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": _OP2, "op7_warc": _OP7, "op8_url_filter": _op8()}
