@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisim.llm import fingerprint, licenses, mixing, ngram_jaccard, quality_rules, sentencepiece, token_counts, url_filter, warc
+from lexisim.llm import fingerprint, licenses, mixing, ngram_jaccard, quality_classifier, quality_rules, sentencepiece, token_counts, url_filter, warc
 
 #: The rules of op8: verdict, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -25,6 +25,11 @@ def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard.join(_table(spark, folder, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every document's quality."""
+    return quality_classifier.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Sampled piece ids of every document, and whether decoding gives its text again."""
     return sentencepiece.encode(_table(spark, folder, "documents"))
@@ -61,7 +66,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count(_table(spark, folder, "documents")).select("doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_ngram_jaccard, op4_sentencepiece, op5_licenses, op6_fingerprints, op7_warc, op8_url_filter, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_ngram_jaccard, op3_quality_classifier, op4_sentencepiece, op5_licenses, op6_fingerprints, op7_warc, op8_url_filter, op9_quality_rules, op10_token_counts)}
 
 _OP7 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
