@@ -111,8 +111,8 @@ scored AS (SELECT q.x_1, q.x_2, CASE WHEN greatest(a.best, b.best) = 0 THEN 0 EL
 
 
 _ALL = "SELECT x_1, x_2 FROM p"
-_ALINE = f"{_aline_scores(_ALL)} SELECT x_1, x_2, round(round(value, 9), 6) AS value FROM scored"
-_ROUTED = f"{_aline_scores(_ALL)} SELECT upper(x_1) AS x_1, upper(x_2) AS x_2, round(round(value, 9), 6) AS aline, round({_PRE}::DOUBLE, 6) AS prefix FROM scored"
+_ALINE = f"{_aline_scores(_ALL)} SELECT x_1, x_2, round(round(value + 1e-8, 9), 6) AS value FROM scored"
+_ROUTED = f"{_aline_scores(_ALL)} SELECT upper(x_1) AS x_1, upper(x_2) AS x_2, round(round(value + 1e-8, 9), 6) AS aline, round({_PRE}::DOUBLE, 6) AS prefix FROM scored"
 _DRUGS = f"""{_aline_scores(_ALL)}, bi AS ({_BISIM.replace("round(round((", "((").replace(")::DOUBLE, 9), 6) AS value", ")::DOUBLE) AS value")})
 SELECT s.x_1, s.x_2, round(round({_clip(f"0.25::DOUBLE * s.value + 0.25::DOUBLE * bi.value + 0.25::DOUBLE * {_LEV.replace('x_', 's.x_')} + 0.25::DOUBLE * {_PRE.replace('x_', 's.x_')}")}::DOUBLE, 9), 6) AS ensemble
 FROM scored s JOIN bi ON s.x_1 = bi.x_1 AND s.x_2 = bi.x_2"""
