@@ -47,6 +47,8 @@ from lexisim.llm.components import components
 CELLS, BITS = 1 << 18, 1 << 23
 #: Rows of a shingle's bucket above which it is salted; members of a comparison block.
 HOT, MEMBERS = 200_000, 256
+#: Bins of a set's histogram, which bounds the common part of two sets from above.
+BINS = 128
 _K1, _K2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -130,7 +132,11 @@ def _describe(n: int, percent: int, sketch: Broadcast):
                 salts = counts[(token & np.uint64(CELLS - 1)).astype(np.int64)] // HOT + 1
                 prefix = pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(token.view(np.int64)), pa.array(salts.astype(np.int32))], ["token", "salts"]))
                 node = pa.array(_nodes(x, edge), pa.int64(), mask=size == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), node, prefix], ["doc_id", "n_shingles", "node", "prefix"])
+                row = np.repeat(np.arange(len(size)), size)
+                bins = np.bincount(row * BINS + (x >> np.uint64(24)).astype(np.int64) % BINS, minlength=len(size) * BINS)
+                bins = np.minimum(bins, 65535).astype(np.uint16).tobytes()
+                bins = pa.array([bins[k : k + 2 * BINS] for k in range(0, len(bins), 2 * BINS)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), node, prefix, bins], ["doc_id", "n_shingles", "node", "prefix", "bins"])
 
     return run
 
@@ -301,6 +307,39 @@ def _shared_of(shared: np.ndarray, live: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], low])
 
 
+def _may_link(percent: int):
+    """Pairs whose histograms leave room for the common part that a link needs (a bin at its limit bounds nothing)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("x", "y"))
+            both = np.minimum(x, y).astype(np.int64).sum(1)
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            room = (both >= (percent * (n + m) + 99 + percent) // (100 + percent)) | (np.minimum(x, y) == 65535).any(1)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(room)) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def _bounded(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their histograms do not rule out."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    bins = rows.select("node", "n_shingles", "bins").join(ends, "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bins").alias("bins"))
+    bins = materialise(bins, "bins")
+    left = bins.select(F.col("node").alias("a"), "n", F.col("bins").alias("x"))
+    right = bins.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bins").alias("y"))
+    return materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_may_link(percent), "a long, b long"), "bounded")
+
+
+def _sets_of(docs: DataFrame, pairs: DataFrame, n: int, sketch: Broadcast) -> DataFrame:
+    """node and tokens (the ordered set) of all nodes in ``pairs``."""
+    ends = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
+    wanted = docs.sparkSession.sparkContext.broadcast(_bits_of(ends))
+    sets = docs.select("text").mapInArrow(_full_sets(n, sketch, wanted), "node long, tokens binary")
+    sets = sets.join(ends, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return materialise(sets, "tokens")
+
+
 def _verify_blocks(percent: int):
     """Rows (a, part, b, tokens) come block by block; b is null for the probe itself, which comes first."""
 
@@ -363,7 +402,7 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     sketch = spark.sparkContext.broadcast(sketch_counts(docs, n))
-    kind = "doc_id long, n_shingles long, node long, prefix array<struct<token:bigint,salts:int>>"
+    kind = "doc_id long, n_shingles long, node long, prefix array<struct<token:bigint,salts:int>>, bins binary"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_describe(n, percent, sketch), kind)
     rows = materialise(rows, "sets")
 
@@ -383,13 +422,8 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     stars = stars.unionByName(leaders.join(firsts, "token").where("a <> b").select("a", "b"))
     tried = materialise(stars.distinct(), "stars")
 
-    inside = materialise(shared.select("node").distinct(), "inside")
-    wanted = spark.sparkContext.broadcast(_bits_of(inside))
-    sets = docs.select("text").mapInArrow(_full_sets(n, sketch, wanted), "node long, tokens binary")
-    sets = sets.join(inside, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    sets = materialise(sets, "tokens")
-
-    links = _verified(tried, sets, percent)
+    near = _bounded(tried, rows, percent)
+    links = _verified(near, _sets_of(docs, near, n, sketch), percent)
     label = components(links)
     placed = shared.select("token", "node", "n", "pos").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = materialise(placed, "placed")
@@ -398,8 +432,9 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     more = open_.mapInArrow(_cross(percent), "a long, b long").distinct()
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialise(more.join(known, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, sets, percent))
+    near = _bounded(more, rows, percent)
+    if not near.isEmpty():
+        links = links.unionByName(_verified(near, _sets_of(docs, near, n, sketch), percent))
         label = components(links)
 
     out = rows.select("doc_id", "n_shingles", "node").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
