@@ -89,9 +89,10 @@ def _op8() -> str:
     for k in range(1, url_filter.DEPTH + 2):
         levels.append(f"""
 part{k} AS (SELECT *, coalesce(string_split(key, '/')[{k}], '') AS part FROM {last}),
-wide{k} AS (SELECT host, template FROM (SELECT DISTINCT host, template, part FROM part{k} WHERE part <> '') GROUP BY ALL HAVING count(*) > {url_filter.FANOUT}),
-leaf{k} AS (SELECT p.host, p.key, p.b, p.l, CASE WHEN part = '' THEN p.template WHEN w.host IS NULL THEN p.template || '/' || part ELSE p.template || '/*' END AS template
-  FROM part{k} p LEFT JOIN wide{k} w ON p.host = w.host AND p.template = w.template),""")
+rare{k} AS (SELECT host, template, part FROM (SELECT host, template, part, sum(pages) AS m, count(*) OVER (PARTITION BY host, template) AS fan FROM part{k} WHERE part <> '' GROUP BY host, template, part)
+  WHERE fan > {url_filter.FANOUT} AND m < {url_filter.SUPPORT}),
+leaf{k} AS (SELECT p.host, p.key, p.b, p.l, p.pages, CASE WHEN p.part = '' THEN p.template WHEN w.host IS NULL THEN p.template || '/' || p.part ELSE p.template || '/*' END AS template
+  FROM part{k} p LEFT JOIN rare{k} w ON p.host = w.host AND p.template = w.template AND p.part = w.part),""")
         last = f"leaf{k}"
     d, z2 = url_filter.DEPTH, url_filter.Z**2
     return f"""
@@ -107,7 +108,7 @@ j AS (SELECT *, CASE
 v AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said,
   list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '{url_filter.VARIABLE}') THEN '*' ELSE x END) AS parts FROM j),
 r AS (SELECT page_id, host, path, rule, said, array_to_string(CASE WHEN len(parts) > {d} THEN list_append(parts[1:{d}], '**') ELSE parts END, '/') AS key FROM v),
-leaf0 AS (SELECT host, key, count(*) FILTER (said = 'block') AS b, count(said) AS l, '' AS template FROM r GROUP BY host, key),
+leaf0 AS (SELECT host, key, count(*) FILTER (said = 'block') AS b, count(said) AS l, count(*) AS pages, '' AS template FROM r GROUP BY host, key),
 {"".join(levels)}
 n AS (SELECT host, template, regexp_replace(template, '^/[^/]*', '') AS tail, sum(b)::BIGINT AS b, sum(l)::BIGINT AS l FROM {last} GROUP BY ALL HAVING sum(l) > 0),
 o AS (SELECT host, tail, sum(b) AS pb, sum(l) AS pl FROM n GROUP BY ALL),

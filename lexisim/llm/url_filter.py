@@ -4,7 +4,7 @@ The tree is built per host from aggregated counts, level by level, so a host
 that holds most of the pages costs no more than its distinct paths. Segments
 that vary by form (numbers, dates, hexadecimal names) become ``*`` at once; at
 each of ``DEPTH`` levels a node with more than ``FANOUT`` different children
-has them all become ``*``; what is deeper is ``**``. The rules' verdicts label
+has those with fewer than ``SUPPORT`` pages become ``*``; what is deeper is ``**``. The rules' verdicts label
 templates. Sibling branches (same host and tail, other head) whose labelled
 rates do not differ from their common rate (|z| <= ``Z``) are merged. A
 template is rejected if its smoothed purity, (blocked + 1) / (labelled + 2),
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lexisim.llm.common import materialise
 
-DEPTH, FANOUT, Z, PURITY = 4, 20, 1.96, 0.9
+DEPTH, FANOUT, SUPPORT, Z, PURITY = 4, 20, 10, 1.96, 0.9
 VARIABLE = r"^([0-9]+([._-][0-9]+)*|[0-9a-f]{8,}|[0-9a-f-]{36})(\.[a-z0-9]{1,5})?$"
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -63,20 +63,22 @@ def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     rows = rows.withColumn("_key", F.array_join(F.when(F.size("_parts") > DEPTH, F.concat(F.slice("_parts", 1, DEPTH), F.array(F.lit("**")))).otherwise(F.col("_parts")), "/")).drop("_parts")
 
     block, labelled = F.sum((F.col("_said") == "block").cast("long")), F.count("_said")
-    tree = templates(rows.groupBy("host", "_key").agg(F.coalesce(block, F.lit(0)).alias("_block"), labelled.alias("_labelled")))
+    tree = templates(rows.groupBy("host", "_key").agg(F.coalesce(block, F.lit(0)).alias("_block"), labelled.alias("_labelled"), F.count(F.lit(1)).alias("_pages")))
     rows = rows.join(tree, ["host", "_key"], "left")
     other = F.when(F.col("purity") >= PURITY, F.lit("block")).otherwise(F.lit("allow"))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("_said", other).alias("verdict"), "template", "purity")
 
 
 def templates(leaves: DataFrame) -> DataFrame:
-    """host, _key, template and purity, from the counts (_block, _labelled) of each host's generalised paths."""
+    """host, _key, template and purity, from the counts (_block, _labelled, _pages) of each host's generalised paths."""
     tree = materialise(leaves.withColumn("template", F.lit("")), "paths")
     part = F.split("_key", "/")
     for level in range(DEPTH + 1):
         tree = tree.withColumn("_part", F.coalesce(F.get(part, F.lit(level)), F.lit("")))
-        wide = tree.where("_part <> ''").select("host", "template", "_part").distinct().groupBy("host", "template").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FANOUT)
-        tree = tree.join(wide, ["host", "template"], "left")
+        children = tree.where("_part <> ''").groupBy("host", "template", "_part").agg(F.sum("_pages").alias("_n"))
+        wide = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("_fan")).where(F.col("_fan") > FANOUT)
+        rare = children.where(F.col("_n") < SUPPORT).join(wide, ["host", "template"]).select("host", "template", "_part", "_n")
+        tree = tree.join(rare, ["host", "template", "_part"], "left")
         grown = F.concat("template", F.lit("/"), F.when(F.col("_n").isNotNull(), F.lit("*")).otherwise(F.col("_part")))
         tree = tree.withColumn("template", F.when(F.col("_part") != "", grown).otherwise(F.col("template"))).drop("_n", "_part")
         tree = materialise(tree, "paths")  # each level reads the one before twice
