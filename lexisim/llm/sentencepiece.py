@@ -165,7 +165,8 @@ def _lattice(p: Pieces, codes: np.ndarray, start: np.ndarray, size: np.ndarray)
                 back = big[:, None] - np.arange(p.longest)
                 inside = back >= base[unit[big]][:, None]
                 value[back[inside]] /= np.broadcast_to(factor[:, None], back.shape)[inside]
-                origin[unit[big]] /= factor
+                if e < p.longest:  # later no arc comes from a unit's start
+                    origin[unit[big]] /= factor
     ends = first[1:]
     # Cumulative shares within each node.
     total_of = np.add.reduceat(share, first[:-1]) if total else share
