@@ -264,10 +264,14 @@ class Editex(Scorer):
         swap = np.where(np.eye(26, dtype=bool), 0.0, gap)
         return gap, swap
 
-    def distance(self, x: Column, y: Column) -> Column:
+    def kernel_udf(self) -> Callable[[Column, Column], Column]:
+        """The distance of two strings of lower-case letters."""
         gap, swap = self._matrices()
         kernel = kernels.grouped_edit_distance(gap, swap, float(self.costs["diff"]))
-        return _pair_udf(lambda s: kernels.code_points(s) - 97, kernel)(self._checked(x), self._checked(y))
+        return _pair_udf(lambda s: kernels.code_points(s) - 97, kernel)
+
+    def distance(self, x: Column, y: Column) -> Column:
+        return self.kernel_udf()(self._checked(x), self._checked(y))
 
     def _most(self, s: Column) -> Column:
         """Cost of deleting all letters."""
@@ -310,7 +314,8 @@ class Aline(Scorer):
         said = F.raise_error(F.concat(F.lit(f"{UnknownToken.__name__}: Aline knows no sound "), F.get(odd, F.lit(0))))
         return F.when(F.size(odd) > 0, said.cast("array<string>")).otherwise(t)
 
-    def similarity(self, x: Column, y: Column) -> Column:
+    def kernel_udf(self) -> Callable[[Column, Column], Column]:
+        """The similarity of two arrays of sounds."""
         symbols, delta, vowel = self.tables.matrices()
         costs = self.tables.costs
         swap = costs["substitute"] - delta - vowel[:, None] - vowel[None, :]
@@ -326,7 +331,10 @@ class Aline(Scorer):
             most = np.maximum(align(a, m, a, m), align(b, n, b, n))
             return np.where(most == 0, 0.0, align(a, m, b, n) / np.where(most == 0, 1.0, most))
 
-        return _pair_udf(encode, relative)(self._checked(x), self._checked(y))
+        return _pair_udf(encode, relative)
+
+    def similarity(self, x: Column, y: Column) -> Column:
+        return self.kernel_udf()(self._checked(x), self._checked(y))
 
 
 SCORERS = {c.__name__: c for c in (Aline, BiSim, Editex, JaroWinkler, LCS, LCSuf, Levenshtein, NGram, Prefix)}

@@ -1,23 +1,61 @@
-"""Scorers for ``spark.sql``: SQL functions that inline, and Arrow UDFs."""
+"""Scorers for ``spark.sql``: SQL functions that Catalyst inlines, over Arrow UDFs where an alignment is needed."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
 from lexisim.functions import kernels
-from lexisim.functions.scorers import _bigram_codes, _pair_udf
+from lexisim.functions.scorers import Aline, Editex, _bigram_codes, _pair_udf
 
-#: Fixed text: SQL bodies of what built-in functions can do.
-_INLINED = {
-    "lev_similarity": "CASE WHEN greatest(char_length(x), char_length(y)) = 0 THEN 1D ELSE 1D - levenshtein(x, y) / greatest(char_length(x), char_length(y)) END",
-}
+_MOST = "greatest(char_length(x), char_length(y))"
+_BOTH = "x IS NULL OR y IS NULL"
+
+
+def _share(shared: str) -> str:
+    """shared over the longer length; 1 for two empty strings, 0 for one."""
+    return f"CASE WHEN {_BOTH} THEN NULL WHEN {_MOST} = 0 THEN 1D WHEN least(char_length(x), char_length(y)) = 0 THEN 0D ELSE {shared} / {_MOST} END"
+
+
+def _prefix(x: str, y: str, most: str) -> str:
+    places = f"CASE WHEN {most} > 0 THEN sequence(1, {most}) ELSE cast(array() AS array<int>) END"
+    return f"coalesce(get(filter({places}, i -> substring({x}, i, 1) <> substring({y}, i, 1)), 0) - 1, {most})"
+
+
+def _grams(s: str) -> str:
+    return f"array_distinct(transform(sequence(1, char_length({s}) + 1), i -> substring(concat(' ', lower({s}), ' '), i, 2)))"
+
+
+_LEAST = "least(char_length(x), char_length(y))"
+_C, _A, _B = f"size(array_intersect({_grams('x')}, {_grams('y')}))", f"size({_grams('x')})", f"size({_grams('y')})"
+
+
+def _bodies() -> dict[str, str]:
+    """SQL bodies of the similarities under the usual configurations."""
+    return {
+        "lev_similarity": f"CASE WHEN {_BOTH} THEN NULL WHEN {_MOST} = 0 THEN 1D ELSE 1D - levenshtein(x, y) / {_MOST} END",
+        "prefix_similarity": _share(_prefix("x", "y", _LEAST)),
+        "lcsuf_similarity": _share(_prefix("reverse(x)", "reverse(y)", _LEAST)),
+        "lcs_similarity": _share("lcs_length(x, y)"),
+        "bisim_similarity": _share("bisim_length(lower(x), lower(y))"),
+        "jaro_winkler_similarity": f"CASE WHEN {_BOTH} THEN NULL WHEN jaro(x, y) = 0 THEN 0D ELSE jaro(x, y) + {_prefix('x', 'y', f'least({_LEAST}, 4)')} * 0.1D * (1D - jaro(x, y)) END",
+        "ngram_dice": f"CASE WHEN {_BOTH} THEN NULL ELSE 2D * {_C} / ({_A} + {_B}) END",
+        "ngram_jaccard": f"CASE WHEN {_BOTH} THEN NULL ELSE {_C} / ({_A} + {_B} - {_C}) END",
+    }
 
 
 def register(spark: SparkSession) -> list[str]:
     """Registers the scorers for SQL in this session; gives their names."""
-    for name, body in _INLINED.items():
+    editex, aline = Editex(), Aline()
+    made = {
+        "jaro": _pair_udf(kernels.code_points, kernels.jaro),
+        "lcs_length": _pair_udf(kernels.code_points, kernels.common_subsequence),
+        "bisim_length": _pair_udf(_bigram_codes, kernels.common_subsequence),
+        "editex_letters": editex.kernel_udf(),
+        "aline_sounds": aline.kernel_udf(),
+    }
+    for name, udf in made.items():
+        spark.udf.register(name, udf)
+    bodies = _bodies()
+    for name, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING, y STRING) RETURNS DOUBLE RETURN {body}")
-    made = {"jaro": (kernels.code_points, kernels.jaro), "lcs_length": (kernels.code_points, kernels.common_subsequence), "bisim_length": (_bigram_codes, kernels.common_subsequence)}
-    for name, (encode, kernel) in made.items():
-        spark.udf.register(name, _pair_udf(encode, kernel))
-    return [*_INLINED, *made]
+    return [*made, *bodies]

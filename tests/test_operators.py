@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexisim import errors
-from lexisim.functions.scorers import LCS, Aline, Editex, JaroWinkler, LCSuf, Levenshtein, NGram, Prefix
+from lexisim.functions.scorers import LCS, Aline, BiSim, Editex, JaroWinkler, LCSuf, Levenshtein, NGram, Prefix
 from lexisim.operators.ensemble import Ensemble, Mode, WeightedFunction
 from lexisim.operators.genetic import GeneticConfig, optimize
 from lexisim.operators.loss import LOSSES, loss, population_losses
@@ -157,6 +157,14 @@ def test_sql_and_stream(spark, tmp_path):
     register(spark)
     row = spark.sql("select lev_similarity('kitten', 'sitting'), jaro('dixon', 'dicksonx'), lcs_length('banana', 'bnna')").first()
     assert list(row) == pytest.approx([4 / 7, 0.766667, 4], abs=1e-6)
+    scorers = {"lev": Levenshtein(), "prefix": Prefix(), "lcsuf": LCSuf(), "lcs": LCS(), "bisim": BiSim(), "jaro_winkler": JaroWinkler()}
+    table = spark.createDataFrame([("Zantac", "zantax"), ("", "a"), ("", ""), ("talk", "walk"), (None, "a")], "x string, y string")
+    for name, scorer in scorers.items():
+        both = table.select(F.expr(f"{name}_similarity(x, y)").alias("v"), scorer.similarity(F.col("x"), F.col("y")).alias("w")).collect()
+        for r in both:
+            assert r["v"] == (None if r["w"] is None else pytest.approx(r["w"])), name
+    row = spark.sql("select ngram_dice('night', 'nacht'), ngram_jaccard('night', 'nacht'), editex_letters('smith', 'smyth'), aline_sounds(array('t', 'u'), array('t', 'y'))").first()
+    assert list(row) == pytest.approx([0.5, 1 / 3, 1, 58 / 60])
     pairs(spark, [Row("kitten", "sitting"), Row("a", "a")]).write.parquet(str(tmp_path / "in"))
     score_stream(read_pairs_stream(spark, str(tmp_path / "in")), [Levenshtein()], str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     got = {r["x_1"]: r["Levenshtein"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
