@@ -22,5 +22,8 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+
+    from lexisim.session import ready
+
+    yield ready(session)
     session.stop()
