@@ -205,7 +205,11 @@ class NGram(Scorer):
 
     def similarity(self, x: Column, y: Column) -> Column:
         a, b = (grams(folded(s, self.case_insensitive), self.n, self.before_padding, self.after_padding) for s in (x, y))
-        return _known_or_null(clip(self._cosine(a, b) if self.metric == "cosine" else self._sets(F.array_distinct(a), F.array_distinct(b))), a, b)
+        if self.metric != "cosine":
+            return _known_or_null(clip(self._sets(F.array_distinct(a), F.array_distinct(b))), a, b)
+        # One struct holds both lists of grams, so the nested counts do not make them anew for each gram.
+        held = F.array(F.struct(a.alias("a"), b.alias("b")))
+        return _known_or_null(clip(F.get(F.transform(held, lambda s: self._cosine(s["a"], s["b"])), F.lit(0))), a, b)
 
     def _sets(self, a: Column, b: Column) -> Column:
         both, m, n = F.size(F.array_intersect(a, b)), F.size(a), F.size(b)
