@@ -8,7 +8,7 @@ one. A window retrieves the templates that share one of ``BANDS`` MinHash
 values with it (bands of one value). A stretch that has ``CONTAINED`` of a
 template's shingles makes up at least ``LEAST`` of window and template
 together, so it is retrieved with probability ``1 - (1 - LEAST)**BANDS``, over
-0.9999. Every retrieved window is then verified: a template is found where
+0.999. Every retrieved window is then verified: a template is found where
 ``CONTAINED`` or more of its different shingles occur in the window.
 
 Defined cases: null, empty and short texts have no shingles and no licenses;
@@ -30,7 +30,7 @@ from lexisim.llm.common import bound_batches, chunks, mix64, span_hashes, text_b
 
 SHINGLE, CONTAINED = 5, 0.8
 #: Least Jaccard similarity of a window and a template whose stretch it holds, and MinHash values compared.
-LEAST, BANDS = 0.25, 32
+LEAST, BANDS = 0.2, 32
 
 # Public license notices, by SPDX identifier.
 TEMPLATES: list[tuple[str, str]] = [
