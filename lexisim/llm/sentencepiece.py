@@ -32,6 +32,8 @@ from lexisim.llm.common import bound_batches, chunks, mix64
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED, SHIFT = 1.0, 29, 2.7
+#: Text bytes whose units are filtered side by side: more text has relatively fewer different units.
+PIECE = 3 << 20
 MARK = 0x2581  # stands for a space in pieces
 _ESCAPED = 0x110000  # a marker character of the text itself, while encoding
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -138,7 +140,7 @@ def _lattice(p: Pieces, codes: np.ndarray, start: np.ndarray, size: np.ndarray)
             ids.append(-1 - code)
             logs.append(p.byte_logp * n_bytes)
     node, length, ident, logp = (np.concatenate(x) for x in (nodes, lengths, ids, logs))
-    order = np.argsort(node * 64 + length, kind="stable")
+    order = np.argsort(node * 64 + 63 - length, kind="stable")  # the longest piece first: as a rule the likeliest
     node, length, ident, logp = node[order], length[order], ident[order], logp[order]
     first = np.searchsorted(node, np.arange(total + 1))
 
@@ -210,15 +212,14 @@ def encode_chunk(p: Pieces, texts: list[str], keys: np.ndarray, seed: int) -> li
     state = mix64(keys[doc] + mix64(number.astype(np.uint64) * _GOLDEN + np.uint64(seed)))
     occ, at, floor = np.arange(len(start)), base[which + 1] - 1, base[which]
     steps: list[tuple[np.ndarray, np.ndarray]] = []
-    grid = cum + np.repeat(np.arange(len(first) - 1), np.diff(first))
-    single = np.diff(first) == 1
     while len(occ):
         state = mix64(state + _GOLDEN)
         u = (state >> np.uint64(11)).astype(np.float64) / (1 << 53)
-        arc = first[at].copy()
-        open_ = np.flatnonzero(~single[at] & (u >= cum[arc]))
-        if len(open_):
-            arc[open_] = np.minimum(np.searchsorted(grid, at[open_] + u[open_], "right"), first[at[open_] + 1] - 1)
+        arc = first[at]
+        later = np.flatnonzero(u >= cum[arc])
+        while len(later):  # a node's last arc has a cumulative share of 1
+            arc[later] += 1
+            later = later[u[later] >= cum[arc[later]]]
         steps.append((occ, ident[arc]))
         at = at - length[arc]
         keep = at >= floor
@@ -277,7 +278,7 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, alpha: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _pieces(proto.value, alpha)
         for whole in batches:
-            for batch in chunks(whole, "text"):
+            for batch in chunks(whole, "text", PIECE):
                 said = batch.column(1).to_pylist()
                 keys = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 ids = encode_chunk(p, [t or "" for t in said], keys, seed)
