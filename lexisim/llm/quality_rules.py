@@ -3,29 +3,42 @@
 Every expression is a built-in DataFrame function; no Python runs on the
 executors. The trusted target and the raw corpus are multinomials over hashed
 word unigrams and bigrams. A document's score is the mean over its n-grams of
-``ln p_target - ln p_raw``; it is kept at ``threshold`` or above, so equal
-texts always meet the same verdict.
+``ln p_target - ln p_raw`` (in steps of ``1 / SCALE``, so sums are exact in any
+order); it is kept at ``threshold`` or above, so equal texts always meet the
+same verdict.
+
+The table of ratios grows with the corpus: it has a bucket for each ``LOAD``
+different n-grams, ``BUCKETS`` at least, and lies in blocks beside the n-grams
+that need it; none of it reaches the driver. The threshold is fitted: it parts
+the documents labelled 0 best from the trusted ones, each scored as if its own
+n-grams were not in the target (both of ``MIN_WORDS`` words or more).
 
 Defined cases: a null text counts as empty; a text without words has score 0
 and fails the base rules (fewer than ``MIN_WORDS`` words); rows that repeat
 count each time in the corpus and get the same verdict; a null ``doc_id`` is
 never trusted; a document is trusted if it has labels and all are 1; without
 trusted or without any documents every ratio is 0, so the base rules alone
-decide. Further columns of the input are left out of the result (``score``)
+decide; with fewer than ``LABELLED`` documents of either kind the threshold is
+``THRESHOLD``. Further columns of the input are left out of the result (``score``)
 or carried through unchanged (``keep``).
 """
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexisim.llm.common import materialise
+
 #: Base rules and the fitted part's parameters.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.08
+#: Different n-grams to a bucket (above BUCKETS buckets), and labelled documents that fit a threshold.
+LOAD, LABELLED = 16, 20
+#: Blocks of the table at least, and buckets of a block at most; steps of a ratio; steps of the threshold.
+BLOCKS, BLOCK, SCALE, STEPS = 64, 1 << 18, 1 << 32, 1000
 
 WHITE = " \\t-\\r"  # in a regular expression's class: x20 and x09-x0D
 
@@ -77,43 +90,118 @@ def with_base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", failed).drop("_h4", "_win", "_key", "_at")
 
 
-def fit_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
-    """``ln p_target - ln p_raw`` of each bucket, counted over all documents.
+def _key() -> Column:
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
+def _grams(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, g (1 trusted, 0 labelled otherwise, -1 not labelled), _h and _h2 (hashes of n-grams) of each row."""
+    said = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_good"))
+    rows = docs.select("doc_id", "text", _key().alias("key")).join(said, "doc_id", "left")
+    return _with_words(rows, "text").select("key", F.coalesce("_good", F.lit(-1)).cast("int").alias("g"), "_h", "_h2")
+
+
+def _runs(name: str, shift: int = 0) -> Column:
+    """First places of the runs of equal entries (without their last ``shift`` bits) in a sorted array of integers."""
+    at = lambda k: F.shiftright(F.get(name, k), shift)
+    return F.filter(F.transform(name, lambda x, k: k), lambda k: (k == 0) | (at(k) != at(k - 1)))
+
+
+def _to(starts: str, name: str, k: Column, p: Column) -> Column:
+    return F.coalesce(F.get(starts, k + 1), F.size(name)) - p
+
+
+def n_buckets(distinct: int, least: int = BUCKETS) -> int:
+    """Buckets for so many different n-grams: ``least``, doubled until each has LOAD at most."""
+    while least * LOAD < distinct:
+        least *= 2
+    return least
+
+
+def fit_scores(docs: DataFrame, labels: DataFrame, buckets: int | None = None, smoothing: float = SMOOTHING) -> DataFrame | None:
+    """key, g, n, total and held of each different row: the n-grams, the sum of their ratios, and that sum without the
+    row's own part of the target, in steps of 1 / SCALE; none where no document is trusted.
 
-    The counts are summed before the shuffle; ``buckets`` rows reach the driver, whatever the corpus.
+    N-grams go once to the block of the table that has their buckets, where they are counted and looked up; a text's
+    sums come back. Three numbers reach the driver, whatever the corpus.
     """
-    trusted = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_good")).where("_good = 1")
-    rows = docs.select("doc_id", "text").join(trusted.hint("shuffle_hash"), "doc_id", "left")
-    grams = _with_words(rows, "text").select(F.explode(F.concat("_h", "_h2")).alias("h"), F.coalesce("_good", F.lit(0)).alias("t"))
-    raw, target = [0] * buckets, [0] * buckets
-    for r in grams.groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t")).collect():
-        raw[r["b"]], target[r["b"]] = r["n"], r["t"]
-    n, t = sum(raw) + smoothing * buckets, sum(target) + smoothing * buckets
-    if not sum(target):
-        return [0.0] * buckets
-    return [math.log((y + smoothing) / t) - math.log((x + smoothing) / n) for x, y in zip(raw, target, strict=True)]
-
-
-def _judged(docs: DataFrame, ratios: list[float], threshold: float) -> DataFrame:
-    df = with_base_counts(docs)
-    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # folded into a literal once
-    total = F.aggregate(F.concat("_h", "_h2"), F.lit(0.0), lambda a, h: a + F.get(table, F.pmod(h, F.lit(len(ratios))).cast("int")))
-    n = F.size("_h") + F.size("_h2")
-    df = df.withColumn("score", F.when(n > 0, total / n).otherwise(F.lit(0.0))).drop("_h", "_h2")
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-
-
-def score(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+    spark = docs.sparkSession
+    grams = _grams(docs, labels)
+    some = grams.select("g", F.explode(F.concat("_h", "_h2")).alias("h")).agg(F.approx_count_distinct("h").alias("d"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("g") == 1).alias("t")).first()
+    if not some["t"]:
+        return None
+    size = buckets or n_buckets(some["d"])
+    shift = max(0, (size // max(BLOCKS, size // BLOCK)).bit_length() - 1)
+    low, high = F.shiftright(F.shiftleft("key", 32), 32).cast("int"), F.shiftright("key", 32).cast("int")
+    sent = grams.withColumn("s", F.sort_array(F.transform(F.concat("_h", "_h2"), lambda h: F.pmod(h, F.lit(size)).cast("int")))).drop("_h", "_h2").withColumn("at", _runs("s", shift=shift))
+    parts = F.transform("at", lambda p, k: F.slice("s", p + 1, _to("at", "s", k, p)))
+    sent = sent.select(F.array(low, high, "g").alias("head"), F.explode(parts).alias("part"))
+    # One array a row, so that both uses of the exchange read the same columns and share it.
+    sent = sent.select(F.shiftright(F.get("part", F.lit(0)), shift).alias("block"), F.concat("head", "part").alias("a")).repartition("block")
+    pairs = F.transform("at", lambda p, k: F.struct(F.get("s", p).alias("b"), _to("at", "s", k, p).alias("c")))
+    key = F.shiftleft(F.get("a", F.lit(1)).cast("long"), 32).bitwiseOR(F.get("a", F.lit(0)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    here = sent.select("block", key.alias("key"), F.get("a", F.lit(2)).alias("g"), F.slice("a", F.lit(4), F.size("a") - 3).alias("s"))
+    each = here.withColumn("at", _runs("s")).select("block", "key", "g", F.inline(pairs))
+    own = F.when(F.col("g") == 1, F.col("c")).otherwise(0)
+    table = each.groupBy("block", "b").agg(F.sum("c").alias("x"), F.sum(own).alias("y"))
+    shift_all = math.log((some["n"] + smoothing * size) / (some["t"] + smoothing * size))
+    ratio = lambda y: F.col("c") * F.round((F.log(y + smoothing) - F.log(F.col("x") + smoothing) + shift_all) * SCALE).cast("long")
+    found = each.join(table.hint("shuffle_hash"), ["block", "b"]).groupBy("key", "g")
+    sums = found.agg(F.sum("c").alias("n"), F.sum(ratio(F.col("y"))).alias("total"), F.sum(F.when(F.col("g") == 1, ratio(F.col("y") - F.col("c")))).alias("held"))
+    # A block holds all rows of its buckets: no need to deal them by bucket again.
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return materialise(sums, "scores")
+    finally:
+        spark.conf.set(name, before)
+
+
+def fit_threshold(scores: DataFrame) -> float:
+    """The threshold with the largest share of trusted less share of others at or above it; the middle of equal ones."""
+    step = F.floor(F.coalesce("held", "total") / F.col("n") / SCALE * STEPS)
+    labelled = scores.where((F.col("g") >= 0) & (F.col("n") >= 2 * MIN_WORDS - 1))
+    rows = labelled.groupBy((F.col("g") == 1).alias("good"), step.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()
+    good, bad = ({r["at"]: r["n"] for r in rows if r["good"] == is_good} for is_good in (True, False))
+    goods, bads = sum(good.values()), sum(bad.values())
+    if min(goods, bads) < LABELLED:
+        return THRESHOLD
+    most, best, g, b = -1, [], goods, bads
+    for at in range(min([*good, *bad]), max([*good, *bad]) + 1):  # g and b are at or above ``at``
+        worth = g * bads - b * goods
+        if worth > most:
+            most, best = worth, [at]
+        elif worth == most and best[-1] == at - 1:
+            best.append(at)
+        g, b = g - good.get(at, 0), b - bad.get(at, 0)
+    return best[len(best) // 2] / STEPS
+
+
+def _scored(rows: DataFrame, scores: DataFrame | None) -> DataFrame:
+    """Adds score to rows that have ``_id``."""
+    if scores is None:
+        return rows.drop("_id").withColumn("score", F.lit(0.0))
+    mean = (F.sum("total") / F.sum("n") / SCALE).alias("_score")
+    own = scores.groupBy(F.col("key").alias("_id")).agg(mean)
+    return rows.join(own, "_id", "left").withColumn("score", F.coalesce("_score", F.lit(0.0))).drop("_id", "_score")
+
+
+def score(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float | None = None) -> DataFrame:
     """doc_id with the base counts, base_failed, score and kept, a row for each row of ``docs``."""
-    ratios = fit_ratios(docs, labels, buckets)
-    return _judged(docs.select("doc_id", "text"), ratios, threshold).drop("text")
+    scores = fit_scores(docs, labels, buckets)
+    least = threshold if threshold is not None else THRESHOLD if scores is None else fit_threshold(scores)
+    rows = with_base_counts(docs.select("doc_id", "text", _key().alias("_id"))).drop("text", "_h", "_h2")
+    return _scored(rows, scores).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
 
 
-def keep(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float | None = None) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the rules keep."""
-    ratios = fit_ratios(docs, labels, buckets)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("text"))
+    scores = fit_scores(docs, labels, buckets)
+    least = threshold if threshold is not None else THRESHOLD if scores is None else fit_threshold(scores)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("text"), _key().alias("_id"))
     # Catalyst would push the filter through every projection and so write the whole chain of arrays out again and
     # again; a verdict that counts as nondeterministic (and is true) stays where it is computed.
     stay = F.monotonically_increasing_id() >= 0
-    return _judged(packed, ratios, threshold).select("_row", (F.col("kept") & stay).alias("kept")).where("kept").select("_row.*")
+    passed = with_base_counts(packed).select("_row", "_id", (~F.col("base_failed") & stay).alias("_passed")).where("_passed")
+    return _scored(passed, scores).where(F.col("score") >= least).select("_row.*")
