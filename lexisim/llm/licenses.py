@@ -9,9 +9,11 @@ values with it (bands of one value). A stretch that has ``CONTAINED`` of a
 template's shingles makes up at least ``LEAST`` of window and template
 together, so it is retrieved with probability ``1 - (1 - LEAST)**BANDS``, over
 0.999. Every retrieved window is then verified: a template is found where
-``CONTAINED`` or more of its different shingles occur in the window.
+``CONTAINED`` or more of its different shingles occur in the window. Templates
+below ``SHINGLE`` words are looked up exactly: the whole template among all
+stretches of as many words.
 
-Defined cases: null, empty and short texts have no shingles and no licenses;
+Defined cases: null and empty texts have no licenses;
 equal texts have equal findings; an empty table gives an empty result; very
 long texts are scanned whole, window by window; repeated rows are scanned
 each; other columns are not read.
@@ -66,32 +68,49 @@ _SEPARATES = np.ones(256, bool)
 _SEPARATES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles, in order, and the offsets of rows into them."""
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, in order, and the offsets of rows into them."""
     starts, ends, words = word_spans(data, off, _SEPARATES)
-    h = span_hashes(data, starts, ends, lower=True)
-    n = len(h) - SHINGLE + 1
+    return span_hashes(data, starts, ends, lower=True), words
+
+
+def stretches(h: np.ndarray, words: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all stretches of ``size`` words within a row, in order, and the offsets of rows into them."""
+    n = len(h) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(words), np.int64)
     x = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
+    for k in range(size):
         x = mix64(x + h[k : k + n])
-    count = np.maximum(np.diff(words) - SHINGLE + 1, 0)
-    edge = np.zeros(len(off), np.int64)
+    count = np.maximum(np.diff(words) - size + 1, 0)
+    edge = np.zeros(len(words), np.int64)
     np.cumsum(count, out=edge[1:])
     row = np.repeat(np.arange(len(count)), count)
     return x[words[row] + np.arange(edge[-1]) - edge[row]], edge
 
 
+def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all that templates can be found by, and the offsets of rows into them: row by row the stretches of SHINGLE words, then the shorter ones."""
+    h, words = word_hashes(data, off)
+    found = [stretches(h, words, size) for size in range(SHINGLE, 0, -1)]
+    rows = [x[edge[r] : edge[r + 1]] for r in range(len(off) - 1) for x, edge in found]
+    return np.concatenate([np.zeros(0, np.uint64), *rows]), sum(edge for _, edge in found)
+
+
 class Index:
     """Templates by size class, with their MinHash values as tables."""
 
     def __init__(self, templates: list[tuple[str, str]]):
-        self.names, self.sets, self.classes = [], [], {}
+        self.names, self.sets, self.classes, self.short = [], [], {}, {}
         for name, text in templates:
             raw = np.frombuffer(text.encode(), np.uint8)
-            own = np.unique(shingles(raw, np.array([0, len(raw)]))[0])
-            if len(own):  # a template below SHINGLE words has no shingle to be found by
+            h, words = word_hashes(raw, np.array([0, len(raw)]))
+            own = np.unique(stretches(h, words, min(SHINGLE, max(1, len(h))))[0])
+            if 0 < len(h) < SHINGLE:
+                self.short.setdefault(len(h), []).append(len(self.names))
+                self.names.append(name)
+                self.sets.append(own)
+            elif len(own):  # a template without words can't be found
                 block = 1
                 while block < len(own) / CONTAINED and (block > 1 or len(own) > 1):
                     block *= 2
@@ -109,6 +128,15 @@ class Index:
                 few[(low & np.uint64(0xFFFF)).astype(np.int64)] = True
                 self.tables[block, band] = low[order], np.array(members)[order], few
 
+    def find_short(self, h: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, template, first and last word within the row) of the short templates among rows of words."""
+        for size, members in self.short.items():
+            x, edge = stretches(h, words, size)
+            for t in members:
+                for at in np.flatnonzero(x == self.sets[t][0]).tolist():
+                    row = int(np.searchsorted(edge, at, "right")) - 1
+                    yield row, t, at - int(edge[row]), at - int(edge[row]) + size - 1
+
     def find(self, x: np.ndarray, edge: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(row, template, first and last shingle within the row, containment) of what rows of shingles hold."""
         retrieved: set[tuple[int, int, int]] = set()
@@ -185,7 +213,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> Dat
             for batch in chunks(whole):
                 data, off = text_bytes(batch.column(1))
                 spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-                for row, t, first, last, share in index.find(*shingles(data, off)):
+                h, words = word_hashes(data, off)
+                for row, t, first, last in index.find_short(h, words):
+                    spans[row].append({"license": index.names[t], "first_word": first, "last_word": last, "containment": 1.0})
+                for row, t, first, last, share in index.find(*stretches(h, words)):
                     spans[row].append({"license": index.names[t], "first_word": first, "last_word": last + SHINGLE - 1, "containment": share})
                 spans = [sorted(s, key=lambda x: (x["first_word"], x["last_word"], x["license"])) for s in spans]
                 names = [sorted({x["license"] for x in s}) for s in spans]
