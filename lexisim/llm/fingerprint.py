@@ -3,8 +3,8 @@
 A k-mer of UTF-8 bytes is a closed syncmer if the smallest hash of its s-mers
 (leftmost of equals) is at its first or last place: a choice by content alone,
 so equal passages choose equal anchors wherever they stand. A fingerprint is the ``KEPT``
-smallest hashes of a text's anchors, each with the relative place of its first
-occurrence (in 1/256 of the text), as hexadecimal text: ``size:hash+place...``.
+smallest hashes of a text's anchors, each with the place of its first
+occurrence (in bytes), as hexadecimal text: ``size:hash+place...``.
 
 ``likeness`` compares two fingerprints: the anchors are matched over the
 smallest hashes of the union (a bottom-k estimate of their Jaccard
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lexisim.llm.common import bound_batches, mix64, text_bytes
 
 K, S, KEPT = 16, 6, 128
-#: Places agree within so many 256ths of the text.
+#: Places agree within so many 256ths of the longer text (up to its last kept anchor).
 NEAR = 24
 
 
@@ -65,7 +65,7 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each row the KEPT smallest 32-bit anchor hashes, in order, and their places (0 to 255)."""
+    """For each row the KEPT smallest 32-bit anchor hashes, in order, and their places (in bytes)."""
     at, h = anchors(data, off)
     h = (h >> np.uint64(32)).astype(np.uint32)
     row = np.searchsorted(off, at, "right") - 1
@@ -74,37 +74,37 @@ def sketches(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.nda
     if len(short):  # no k-mer fits, or none is closed: the whole text
         whole = [int.from_bytes(hashlib.blake2b(data[off[r] : off[r + 1]].tobytes(), digest_size=4).digest(), "big") for r in short]
         at, h, row = np.append(at, off[short]), np.append(h, np.array(whole, np.uint32)), np.append(row, short)
-    place = ((at - off[row]) * 256 // np.maximum(length[row], 1)).astype(np.uint64)
+    place = (at - off[row]).astype(np.uint64)
     # One sort by row, hash, place.
-    key = (h.astype(np.uint64) << np.uint64(8)) | place
+    key = (h.astype(np.uint64) << np.uint64(32)) | place
     order = np.argsort(key, kind="stable")
     order = order[np.argsort(row[order], kind="stable")]
     row, key = row[order], key[order]
     new = np.ones(len(key), bool)
     if len(key):
-        new[1:] = (row[1:] != row[:-1]) | ((key[1:] >> np.uint64(8)) != (key[:-1] >> np.uint64(8)))
+        new[1:] = (row[1:] != row[:-1]) | ((key[1:] >> np.uint64(32)) != (key[:-1] >> np.uint64(32)))
     row, key = row[new], key[new]
     edge = np.searchsorted(row, np.arange(len(length) + 1))
     out = []
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         part = key[a : min(b, a + KEPT)]
-        out.append(((part >> np.uint64(8)).astype(np.uint32), (part & np.uint64(255)).astype(np.int16)))
+        out.append(((part >> np.uint64(32)).astype(np.uint32), (part & np.uint64(0xFFFFFFFF)).astype(np.int64)))
     return out
 
 
 def encode(sketch: tuple[np.ndarray, np.ndarray]) -> str:
-    """A sketch as text: the number of anchors, then 8 hexadecimal digits of hash and 2 of place for each."""
+    """A sketch as text: the number of anchors, then 8 hexadecimal digits of hash and 8 of place for each."""
     h, place = sketch
-    raw = np.zeros((len(h), 5), np.uint8)
+    raw = np.zeros((len(h), 8), np.uint8)
     raw[:, :4] = h.astype(">u4").view(np.uint8).reshape(-1, 4)
-    raw[:, 4] = place
+    raw[:, 4:] = place.astype(">u4").view(np.uint8).reshape(-1, 4)
     return f"{len(h)}:{raw.tobytes().hex()}"
 
 
 def decode(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The sketch that ``encode`` wrote."""
-    raw = np.frombuffer(bytes.fromhex(text.partition(":")[2]), np.uint8).reshape(-1, 5)
-    return raw[:, :4].copy().view(">u4").ravel().astype(np.uint32), raw[:, 4].astype(np.int16)
+    raw = np.frombuffer(bytes.fromhex(text.partition(":")[2]), np.uint8).reshape(-1, 8)
+    return raw[:, :4].copy().view(">u4").ravel().astype(np.uint32), raw[:, 4:].copy().view(">u4").ravel().astype(np.int64)
 
 
 def likeness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -125,7 +125,8 @@ def likeness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray])
     if not len(twin):
         return 0.0
     shift = p[order[twin]] - q[order[twin + 1] - len(a)]
-    return float(np.count_nonzero(np.abs(shift - np.median(shift)) <= NEAR) / size)
+    near = NEAR / 256 * max(p.max(), q.max(), 1)
+    return float(np.count_nonzero(np.abs(shift - np.median(shift)) <= near) / size)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

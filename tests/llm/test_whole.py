@@ -1,6 +1,8 @@
 """Cases that operators once left out."""
 
-from lexisim.llm import licenses
+import random
+
+from lexisim.llm import fingerprint, licenses
 
 
 def test_every_template_is_found(spark):
@@ -10,3 +12,17 @@ def test_every_template_is_found(spark):
     assert [(s["license"], s["first_word"], s["last_word"]) for s in got[500]["spans"]] == [("MIT", 2, 5)]
     none = licenses.scan(spark.createDataFrame([(1, "spdx license identifier"), (2, "mit")], "doc_id long, text string"))
     assert sum(r["n_licenses"] for r in none.collect()) == 0
+
+
+def test_texts_of_unequal_length_keep_their_matches():
+    rng = random.Random(2)
+    text = " ".join(str(rng.randrange(10**6)) for _ in range(3000)).encode()
+    for other in (text[: len(text) * 2 // 3], text + text[::-1][: len(text) // 2]):
+        (a, b), both = (list(fingerprint.sketches(*fingerprint._packed([text, other])))), []
+        for t in (text, other):
+            at, h = fingerprint.anchors(*fingerprint._packed([t]))
+            both.append(set((h >> 32).tolist()))
+        truth = len(both[0] & both[1]) / len(both[0] | both[1])
+        assert abs(fingerprint.likeness(a, b) - truth) < 0.12, (fingerprint.likeness(a, b), truth)
+        same = [fingerprint.decode(fingerprint.encode(x)) for x in (a, b)]
+        assert fingerprint.likeness(*same) == fingerprint.likeness(a, b)
