@@ -117,7 +117,7 @@ def count(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN,
     listed = docs.select("doc_id", F.spark_partition_id().alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
     listed = listed.select(F.lit(True).alias("_listed"), F.col("doc_id").cast("long").alias("doc_id"), "part", "place")
     number = lambda form: F.regexp_extract("file", form, 1).cast("long")
-    found = scan(spark, path, end).select(number(r"part-(\d+)-[^/]*$").cast("int").alias("part"), (number(r"-c(\d+)[^/]*$") * PER_FILE + F.col("place")).alias("place"), "n_tokens")
+    found = scan(spark, path, end).select(number(r"part-(\d+)-[^/]*$").cast("int").alias("part"), (number(r"-c(\d+)(?:\.[^/]*)?$") * PER_FILE + F.col("place")).alias("place"), "n_tokens")
     both = listed.join(found, ["part", "place"], "full")
     lost = F.raise_error(F.lit("documents and flat files do not have the same rows")).cast("long")
     return both.select("doc_id", F.when(F.col("_listed").isNull() | F.col("n_tokens").isNull(), lost).otherwise(F.col("n_tokens")).alias("n_tokens"), "part", "place")
