@@ -260,11 +260,33 @@ def test_token_counts(spark, docs, no_docs, tmp_path):
     for block in (1, 7, 64, 10_000):
         got = token_counts.scan(spark, str(tmp_path), 5, block).collect()
         assert sorted((r["place"], r["n_tokens"], r["ended"]) for r in got) == want
+    # Ranges of a few bytes: documents, ids and separators lie across their edges. A byte order mark is no token less.
+    (tmp_path / "b.bin").write_bytes(b"\xef\xbb\xbf\x00\x05\x05\x05\x00" * 9 + b"\x01\x00")
+    name, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("64", "1000", "4097", before):
+        spark.conf.set(name, size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = token_counts.scan(spark, str(tmp_path), 5).collect()
+        assert sorted((r["place"], r["n_tokens"], r["ended"]) for r in rows if r["file"].endswith("a.bin")) == sorted(want), size
+        assert sorted((r["place"], r["n_tokens"], r["ended"]) for r in rows if r["file"].endswith("b.bin")) == [*((k, 3, True) for k in range(9)), (9, 1, False)], size
+    spark.conf.unset("spark.sql.files.openCostInBytes")
     (tmp_path / "b.bin").write_bytes(b"abc")
     with pytest.raises(Exception, match="half a token"):
         token_counts.scan(spark, str(tmp_path)).collect()
 
 
+def test_file_numbers_are_not_taken_from_names(spark, docs, monkeypatch):
+    """Spark's file names hold a UUID, which may itself have a group like a file number."""
+    real = token_counts.scan
+
+    def renamed(*args):
+        return real(*args).withColumn("file", F.regexp_replace("file", r"(part-\d+)-[0-9a-f-]+-(c\d+)", "$1-f7b1e955-c896-4ba7-c123-0123456789ab-$2"))
+
+    monkeypatch.setattr(token_counts, "scan", renamed)
+    monkeypatch.setattr(token_counts, "PER_FILE", 7)
+    assert token_counts.count(docs).count() == docs.count()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
