@@ -25,9 +25,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share, ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lexisim-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -35,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used; it is deleted when the driver's Python ends."""
+    """A path in the shared folder that nothing has used; it is deleted when the driver's Python ends, if not before."""
     path = f"{shared_dir(spark)}/lexisim-{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
@@ -46,13 +48,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._lexisim_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` gave, once all that reads them has been written."""
+    for table in tables:
+        drop_path(table.sparkSession, table._lexisim_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder that ``new_path`` gave, on whichever file system it is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written[:] = [x for x in _written if x[1] != path]
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -66,7 +77,7 @@ def bound_batches(spark: SparkSession) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for spark, path in list(_written):
         try:
             drop_path(spark, path)
         except Exception:  # the JVM may be gone already

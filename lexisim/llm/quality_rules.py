@@ -8,10 +8,11 @@ order); it is kept at ``threshold`` or above, so equal texts always meet the
 same verdict.
 
 The table of ratios grows with the corpus: it has a bucket for each ``LOAD``
-different n-grams, ``BUCKETS`` at least, and lies in blocks beside the n-grams
-that need it; none of it reaches the driver. The threshold is fitted: it parts
-the documents labelled 0 best from the trusted ones, each scored as if its own
-n-grams were not in the target (both of ``MIN_WORDS`` words or more).
+different words, ``BUCKETS`` at least. It is a joined table, sent to all tasks
+up to ``BROADCAST`` buckets and dealt by bucket beyond; none of it reaches the
+driver. The threshold is fitted: it parts the documents labelled 0 best from
+the trusted ones, each n-gram of these scored as if it were not in the target
+(both of ``MIN_WORDS`` words or more).
 
 Defined cases: a null text counts as empty; a text without words has score 0
 and fails the base rules (fewer than ``MIN_WORDS`` words); rows that repeat
@@ -30,15 +31,19 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexisim.llm.common import materialise
+from lexisim.llm.common import materialise, release
 
 #: Base rules and the fitted part's parameters.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.08
-#: Different n-grams to a bucket (above BUCKETS buckets), and labelled documents that fit a threshold.
+#: Different words to a bucket (above BUCKETS buckets), and labelled documents that fit a threshold.
 LOAD, LABELLED = 16, 20
-#: Blocks of the table at least, and buckets of a block at most; steps of a ratio; steps of the threshold.
-BLOCKS, BLOCK, SCALE, STEPS = 64, 1 << 18, 1 << 32, 1000
+#: Buckets (of some 40 bytes) and keys (8 bytes) that are sent to all tasks, at most.
+BROADCAST, FEW = 1 << 21, 1 << 20
+#: Tasks that count n-grams, for each core of the cluster.
+TASKS = 2
+#: A bucket is hot that has a BLOCKS-th of all n-grams; steps of a ratio; steps of the threshold.
+BLOCKS, SCALE, STEPS = 64, 1 << 32, 1000
 
 WHITE = " \\t-\\r"  # in a regular expression's class: x20 and x09-x0D
 
@@ -90,79 +95,78 @@ def with_base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", failed).drop("_h4", "_win", "_key", "_at")
 
 
-def _key() -> Column:
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+def _trusted(labels: DataFrame) -> DataFrame:
+    """doc_id and good (1: all labels are 1; else 0) of each labelled document; sent to all if there are FEW at most."""
+    said = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.coalesce((F.min("quality") == 1).cast("int"), F.lit(0)).alias("good"))
+    return F.broadcast(said) if said.count() <= FEW else said
 
 
-def _grams(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, g (1 trusted, 0 labelled otherwise, -1 not labelled), _h and _h2 (hashes of n-grams) of each row."""
-    said = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_good"))
-    rows = docs.select("doc_id", "text", _key().alias("key")).join(said, "doc_id", "left")
-    return _with_words(rows, "text").select("key", F.coalesce("_good", F.lit(-1)).cast("int").alias("g"), "_h", "_h2")
+def _grams(rows: DataFrame) -> DataFrame:
+    """A row for each n-gram of ``rows`` (with ``_h`` and ``_h2``), its hash as ``_g``; one with null for rows without."""
+    return rows.select(*[c for c in rows.columns if c not in ("_h", "_h2")], F.explode_outer(F.concat("_h", "_h2")).alias("_g"))
 
 
-def _runs(name: str, shift: int = 0) -> Column:
-    """First places of the runs of equal entries (without their last ``shift`` bits) in a sorted array of integers."""
-    at = lambda k: F.shiftright(F.get(name, k), shift)
-    return F.filter(F.transform(name, lambda x, k: k), lambda k: (k == 0) | (at(k) != at(k - 1)))
-
-
-def _to(starts: str, name: str, k: Column, p: Column) -> Column:
-    return F.coalesce(F.get(starts, k + 1), F.size(name)) - p
+def _bucket(size: int) -> Column:
+    return F.pmod("_g", F.lit(size)).cast("int").alias("b")
 
 
 def n_buckets(distinct: int, least: int = BUCKETS) -> int:
-    """Buckets for so many different n-grams: ``least``, doubled until each has LOAD at most."""
+    """Buckets for so many different words: ``least``, doubled until there is one for each LOAD of them."""
     while least * LOAD < distinct:
         least *= 2
     return least
 
 
-def fit_scores(docs: DataFrame, labels: DataFrame, buckets: int | None = None, smoothing: float = SMOOTHING) -> DataFrame | None:
-    """key, g, n, total and held of each different row: the n-grams, the sum of their ratios, and that sum without the
-    row's own part of the target, in steps of 1 / SCALE; none where no document is trusted.
+def fit_ratios(docs: DataFrame, labels: DataFrame, buckets: int | None = None, smoothing: float = SMOOTHING) -> tuple[DataFrame, int, int] | None:
+    """b, x (n-grams of the corpus), ratio and without (the ratio without one of its trusted n-grams) of each bucket, in
+    steps of 1 / SCALE; the number of buckets; and of n-grams. None where no document is trusted.
 
-    N-grams go once to the block of the table that has their buckets, where they are counted and looked up; a text's
-    sums come back. Three numbers reach the driver, whatever the corpus.
+    N-grams are counted where they are, by bucket, and only counts are dealt out; the trusted documents alone are
+    looked for by id. A task may deal out a count for every bucket, so there are no more tasks than TASKS a core: what
+    is dealt out grows with the table, not with the table times the corpus. Three numbers reach the driver.
     """
-    spark = docs.sparkSession
-    grams = _grams(docs, labels)
-    some = grams.select("g", F.explode(F.concat("_h", "_h2")).alias("h")).agg(F.approx_count_distinct("h").alias("d"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("g") == 1).alias("t")).first()
-    if not some["t"]:
+    tasks = TASKS * docs.sparkSession.sparkContext.defaultParallelism
+    words = _with_words(docs.select("text"), "text")
+    size = buckets or n_buckets(words.select(F.explode("_h").alias("h")).agg(F.approx_count_distinct("h").alias("d")).first()["d"])
+    count = lambda rows, name: _grams(rows).where("_g is not null").groupBy(_bucket(size)).agg(F.count(F.lit(1)).alias(name))
+    good = docs.select("doc_id", "text").join(_trusted(labels).where("good = 1").select("doc_id"), "doc_id")
+    raw, target = (count(_with_words(x.coalesce(tasks), "text").select("_h", "_h2"), name) for x, name in ((docs.select("text"), "x"), (good, "y")))
+    table = materialise(raw.join(target, "b", "left").select("b", "x", F.coalesce("y", F.lit(0)).cast("long").alias("y")), "counts")
+    total = table.agg(F.coalesce(F.sum("x"), F.lit(0)).alias("x"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")).first()
+    if not total["y"]:
+        release(table)
         return None
-    size = buckets or n_buckets(some["d"])
-    shift = max(0, (size // max(BLOCKS, size // BLOCK)).bit_length() - 1)
-    low, high = F.shiftright(F.shiftleft("key", 32), 32).cast("int"), F.shiftright("key", 32).cast("int")
-    sent = grams.withColumn("s", F.sort_array(F.transform(F.concat("_h", "_h2"), lambda h: F.pmod(h, F.lit(size)).cast("int")))).drop("_h", "_h2").withColumn("at", _runs("s", shift=shift))
-    parts = F.transform("at", lambda p, k: F.slice("s", p + 1, _to("at", "s", k, p)))
-    sent = sent.select(F.array(low, high, "g").alias("head"), F.explode(parts).alias("part"))
-    # One array a row, so that both uses of the exchange read the same columns and share it.
-    sent = sent.select(F.shiftright(F.get("part", F.lit(0)), shift).alias("block"), F.concat("head", "part").alias("a")).repartition("block")
-    pairs = F.transform("at", lambda p, k: F.struct(F.get("s", p).alias("b"), _to("at", "s", k, p).alias("c")))
-    key = F.shiftleft(F.get("a", F.lit(1)).cast("long"), 32).bitwiseOR(F.get("a", F.lit(0)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    here = sent.select("block", key.alias("key"), F.get("a", F.lit(2)).alias("g"), F.slice("a", F.lit(4), F.size("a") - 3).alias("s"))
-    each = here.withColumn("at", _runs("s")).select("block", "key", "g", F.inline(pairs))
-    own = F.when(F.col("g") == 1, F.col("c")).otherwise(0)
-    table = each.groupBy("block", "b").agg(F.sum("c").alias("x"), F.sum(own).alias("y"))
-    shift_all = math.log((some["n"] + smoothing * size) / (some["t"] + smoothing * size))
-    ratio = lambda y: F.col("c") * F.round((F.log(y + smoothing) - F.log(F.col("x") + smoothing) + shift_all) * SCALE).cast("long")
-    found = each.join(table.hint("shuffle_hash"), ["block", "b"]).groupBy("key", "g")
-    sums = found.agg(F.sum("c").alias("n"), F.sum(ratio(F.col("y"))).alias("total"), F.sum(F.when(F.col("g") == 1, ratio(F.col("y") - F.col("c")))).alias("held"))
-    # A block holds all rows of its buckets: no need to deal them by bucket again.
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        return materialise(sums, "scores")
-    finally:
-        spark.conf.set(name, before)
-
-
-def fit_threshold(scores: DataFrame) -> float:
-    """The threshold with the largest share of trusted less share of others at or above it; the middle of equal ones."""
-    step = F.floor(F.coalesce("held", "total") / F.col("n") / SCALE * STEPS)
-    labelled = scores.where((F.col("g") >= 0) & (F.col("n") >= 2 * MIN_WORDS - 1))
-    rows = labelled.groupBy((F.col("g") == 1).alias("good"), step.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()
+    shift = math.log((total["x"] + smoothing * size) / (total["y"] + smoothing * size))
+    ratio = lambda y: F.round((F.log(y + smoothing) - F.log(F.col("x") + smoothing) + shift) * SCALE).cast("long")
+    return table.select("b", "x", ratio(F.col("y")).alias("ratio"), ratio(F.greatest(F.col("y") - 1, F.lit(0))).alias("without")), size, total["x"]
+
+
+def _sums(rows: DataFrame, table: DataFrame, size: int, n: int) -> DataFrame:
+    """``rows`` without their n-grams, with _n (n-grams), _total and _held (sums of ratio and without).
+
+    A table of BROADCAST buckets at most goes to all tasks. A larger one stays dealt by bucket and the n-grams go to
+    it, but for the buckets with more than a BLOCKS-th of all n-grams, which are fewer than BLOCKS and go to all tasks.
+    """
+    keys = [c for c in rows.columns if c not in ("_h", "_h2")]
+    grams = _grams(rows).withColumn("b", _bucket(size)).drop("_g")
+    if size <= BROADCAST:
+        found = grams.join(F.broadcast(table), "b", "left").select(*keys, "ratio", "without")
+    else:
+        hot = F.col("x") > n // BLOCKS
+        found = grams.join(F.broadcast(table.where(hot).select("b", "ratio", "without")), "b", "left")
+        rest = found.where("ratio is null").drop("ratio", "without").join(table.where(~hot), "b", "left").select(*keys, "ratio", "without")
+        found = found.where("ratio is not null").select(*keys, "ratio", "without").unionByName(rest)
+    return found.groupBy(*keys).agg(F.count("ratio").alias("_n"), F.coalesce(F.sum("ratio"), F.lit(0)).alias("_total"), F.coalesce(F.sum("without"), F.lit(0)).alias("_held"))
+
+
+def fit_threshold(scores: DataFrame, labels: DataFrame) -> float:
+    """The threshold with the largest share of trusted less share of others at or above it; the middle of equal ones.
+
+    ``scores`` has doc_id, _n, _total and _held. A histogram by steps reaches the driver.
+    """
+    step = F.floor(F.when(F.col("good") == 1, F.col("_held")).otherwise(F.col("_total")) / F.col("_n") / SCALE * STEPS)
+    labelled = scores.where(F.col("_n") >= 2 * MIN_WORDS - 1).select("doc_id", "_n", "_total", "_held").distinct().join(_trusted(labels), "doc_id")
+    rows = labelled.groupBy((F.col("good") == 1).alias("good"), step.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()
     good, bad = ({r["at"]: r["n"] for r in rows if r["good"] == is_good} for is_good in (True, False))
     goods, bads = sum(good.values()), sum(bad.values())
     if min(goods, bads) < LABELLED:
@@ -178,30 +182,35 @@ def fit_threshold(scores: DataFrame) -> float:
     return best[len(best) // 2] / STEPS
 
 
-def _scored(rows: DataFrame, scores: DataFrame | None) -> DataFrame:
-    """Adds score to rows that have ``_id``."""
-    if scores is None:
-        return rows.drop("_id").withColumn("score", F.lit(0.0))
-    mean = (F.sum("total") / F.sum("n") / SCALE).alias("_score")
-    own = scores.groupBy(F.col("key").alias("_id")).agg(mean)
-    return rows.join(own, "_id", "left").withColumn("score", F.coalesce("_score", F.lit(0.0))).drop("_id", "_score")
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def _judged(docs: DataFrame, labels: DataFrame, buckets: int | None, threshold: float | None) -> DataFrame:
+    """doc_id, _mark (hash of id and text), the base counts, base_failed, score and kept of each row of ``docs``."""
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_mark")
+    fitted = fit_ratios(docs, labels, buckets)
+    rows = with_base_counts(docs.select("doc_id", "text", key)).drop("text")
+    if fitted is None:
+        return rows.drop("_h", "_h2").withColumn("score", F.lit(0.0)).withColumn("kept", ~F.col("base_failed"))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    scores = materialise(_sums(rows, *fitted), "scores")
+    least = threshold if threshold is not None else fit_threshold(scores, labels)
+    out = scores.withColumn("score", F.when(F.col("_n") > 0, F.col("_total") / F.col("_n") / SCALE).otherwise(F.lit(0.0)))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
 
 
 def score(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float | None = None) -> DataFrame:
     """doc_id with the base counts, base_failed, score and kept, a row for each row of ``docs``."""
-    scores = fit_scores(docs, labels, buckets)
-    least = threshold if threshold is not None else THRESHOLD if scores is None else fit_threshold(scores)
-    rows = with_base_counts(docs.select("doc_id", "text", _key().alias("_id"))).drop("text", "_h", "_h2")
-    return _scored(rows, scores).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
+    return _judged(docs, labels, buckets, threshold).select("doc_id", *_COUNTS, "score", "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float | None = None) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the rules keep."""
-    scores = fit_scores(docs, labels, buckets)
-    least = threshold if threshold is not None else THRESHOLD if scores is None else fit_threshold(scores)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("text"), _key().alias("_id"))
-    # Catalyst would push the filter through every projection and so write the whole chain of arrays out again and
-    # again; a verdict that counts as nondeterministic (and is true) stays where it is computed.
-    stay = F.monotonically_increasing_id() >= 0
-    passed = with_base_counts(packed).select("_row", "_id", (~F.col("base_failed") & stay).alias("_passed")).where("_passed")
-    return _scored(passed, scores).where(F.col("score") >= least).select("_row.*")
+    """The rows of ``docs``, with all their columns, that the rules keep.
+
+    Verdicts are matched by a hash of id and text; where FEW rows or fewer stay, no text is dealt out for it.
+    """
+    kept = _judged(docs, labels, buckets, threshold).where("kept").select("_mark").distinct()
+    kept = materialise(kept, "kept")
+    kept = F.broadcast(kept) if kept.count() <= FEW else kept
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_k"))
+    return packed.join(kept, F.col("_k") == F.col("_mark"), "left_semi").select("_row.*")

@@ -18,3 +18,13 @@ def test_table_grows_and_threshold_is_fitted(spark, monkeypatch):
         got = quality_rules.score(docs, labels, buckets).collect()
         right = sum(r["kept"] == (r["doc_id"] % 3 > 0) for r in got)
         assert len(got) == 900 and right >= 890, (buckets, right)
+
+
+def test_large_tables_give_the_same_scores(spark, docs, labels, monkeypatch):
+    """Beyond its bounds nothing is sent to all tasks but hot buckets; the result is the same."""
+    key = lambda df: sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], round(r["score"], 9), r["kept"]) for r in df.collect())
+    want, kept = key(quality_rules.score(docs, labels)), quality_rules.keep(docs, labels).count()
+    monkeypatch.setattr(quality_rules, "BROADCAST", 0)
+    monkeypatch.setattr(quality_rules, "FEW", 0)
+    assert key(quality_rules.score(docs, labels)) == want
+    assert quality_rules.keep(docs, labels).count() == kept
