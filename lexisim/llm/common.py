@@ -15,12 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised kernel call sees (one longer text may exceed it).
 CHUNK_BYTES = 1 << 20
 #: Bytes and rows that an Arrow batch between the JVM and Python holds.
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 4000
 
+#: Rows (of some ten bytes each) that are sent to all tasks, at most.
+FEW = 1 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -59,6 +63,11 @@ def release(*tables: DataFrame) -> None:
         drop_path(table.sparkSession, table._lexisim_path)
 
 
+def few(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be sent to all tasks of a join if it has FEW rows at most."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder that ``new_path`` gave, on whichever file system it is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisim.llm.common import materialise
+from lexisim.llm.common import materialise, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,6 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         stars = materialise(_star(_star(edges, True), False), "stars")
         before, after = (x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (edges, stars))
+        release(edges)
         edges = stars
         if before == after:
             break

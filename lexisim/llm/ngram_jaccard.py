@@ -40,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisim.llm.common import bound_batches, chunks, materialise, mix64, span_hashes, text_bytes, word_spans
+from lexisim.llm.common import bound_batches, chunks, few, materialise, mix64, release, span_hashes, text_bytes, word_spans
 from lexisim.llm.components import components
 
 #: Cells of the count sketch (a bounded broadcast) and bits of the filter on nodes (another).
@@ -130,13 +130,17 @@ def _describe(n: int, percent: int, sketch: Broadcast):
                 row = np.repeat(np.arange(len(size)), keep)
                 token = x[edge[row] + np.arange(off[-1]) - off[row]]
                 salts = counts[(token & np.uint64(CELLS - 1)).astype(np.int64)] // HOT + 1
-                prefix = pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(token.view(np.int64)), pa.array(salts.astype(np.int32))], ["token", "salts"]))
+                prefix = pa.ListArray.from_arrays(pa.array(off), pa.array(token.view(np.int64)))
+                salted = np.repeat(np.bincount(row, salts > 1, len(size)) > 0, keep)  # rows without a hot shingle have no list
+                many = np.zeros(len(size) + 1, np.int32)
+                np.cumsum(np.bincount(row[salted], minlength=len(size)), out=many[1:])
+                salts = pa.ListArray.from_arrays(pa.array(many), pa.array(salts[salted].astype(np.int32)))
                 node = pa.array(_nodes(x, edge), pa.int64(), mask=size == 0)
                 row = np.repeat(np.arange(len(size)), size)
                 bins = np.bincount(row * BINS + (x >> np.uint64(24)).astype(np.int64) % BINS, minlength=len(size) * BINS)
                 bins = np.minimum(bins, 65535).astype(np.uint16).tobytes()
                 bins = pa.array([bins[k : k + 2 * BINS] for k in range(0, len(bins), 2 * BINS)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), node, prefix, bins], ["doc_id", "n_shingles", "node", "prefix", "bins"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), node, prefix, salts, bins], ["doc_id", "n_shingles", "node", "prefix", "salts", "bins"])
 
     return run
 
@@ -323,12 +327,14 @@ def _may_link(percent: int):
 
 def _bounded(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that their histograms do not rule out."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    bins = rows.select("node", "n_shingles", "bins").join(ends, "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bins").alias("bins"))
+    ends = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
+    bins = rows.select("node", "n_shingles", "bins").join(few(ends), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bins").alias("bins"))
     bins = materialise(bins, "bins")
     left = bins.select(F.col("node").alias("a"), "n", F.col("bins").alias("x"))
     right = bins.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bins").alias("y"))
-    return materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_may_link(percent), "a long, b long"), "bounded")
+    out = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_may_link(percent), "a long, b long"), "bounded")
+    release(ends, bins)
+    return out
 
 
 def _sets_of(docs: DataFrame, pairs: DataFrame, n: int, sketch: Broadcast) -> DataFrame:
@@ -336,8 +342,9 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, n: int, sketch: Broadcast) -> Da
     ends = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
     wanted = docs.sparkSession.sparkContext.broadcast(_bits_of(ends))
     sets = docs.select("text").mapInArrow(_full_sets(n, sketch, wanted), "node long, tokens binary")
-    sets = sets.join(ends, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    return materialise(sets, "tokens")
+    sets = materialise(sets.join(few(ends), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "tokens")
+    release(ends)
+    return sets
 
 
 def _verify_blocks(percent: int):
@@ -374,8 +381,9 @@ def _verify_blocks(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, sketch: Broadcast) -> DataFrame:
     """The pairs (a, b) whose sets link."""
+    sets = _sets_of(docs, pairs, n, sketch)
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
     dealt = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     dealt = materialise(dealt, "pairs")
@@ -384,7 +392,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = members.unionByName(probes)
     parts = max(8, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(parts, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return materialise(rows.mapInArrow(_verify_blocks(percent), "a long, b long"), "verified")
+    links = materialise(rows.mapInArrow(_verify_blocks(percent), "a long, b long"), "verified")
+    release(sets, dealt)
+    return links
 
 
 def _bits_of(nodes: DataFrame) -> np.ndarray:
@@ -402,14 +412,15 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     sketch = spark.sparkContext.broadcast(sketch_counts(docs, n))
-    kind = "doc_id long, n_shingles long, node long, prefix array<struct<token:bigint,salts:int>>, bins binary"
+    kind = "doc_id long, n_shingles long, node long, prefix array<long>, salts array<int>, bins binary"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_describe(n, percent, sketch), kind)
     rows = materialise(rows, "sets")
 
     # A bucket's rows: one for each node, shingle of its prefix and salt. Copies fall together before the shuffle.
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    dealt = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "x"))
-    dealt = dealt.select(F.col("x.token").alias("token"), F.pmod(F.xxhash64("node"), F.col("x.salts")).cast("int").alias("salt"), F.col("x.salts").alias("salts"), "node", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"))
+    nodes = rows.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "prefix", "salts")])
+    dealt = nodes.select("node", F.col("n_shingles").cast("int").alias("n"), "salts", F.posexplode("prefix").alias("pos", "token"))
+    dealt = dealt.withColumn("salts", F.coalesce(F.get("salts", F.col("pos")), F.lit(1)))
+    dealt = dealt.select("token", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "salts", "node", "n", "pos")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "pos", "n", "node")
     shared = dealt.mapInArrow(_lead, "token long, salts int, node long, n int, pos int, leader long, leader_n int, leader_pos int")
@@ -423,26 +434,35 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     tried = materialise(stars.distinct(), "stars")
 
     near = _bounded(tried, rows, percent)
-    links = _verified(near, _sets_of(docs, near, n, sketch), percent)
-    label = components(links)
-    placed = shared.select("token", "node", "n", "pos").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    links = _verified(docs, near, n, percent, sketch)
+    release(near)
+    label = materialise(components(links), "label")
+    placed = shared.select("token", "node", "n", "pos").join(few(label), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = materialise(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
-    open_ = placed.join(mixed, "token").repartition(parts, "token").sortWithinPartitions("token", "comp", "node")
+    release(shared)
+    mixed = materialise(placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token"), "mixed")
+    open_ = placed.join(few(mixed), "token").repartition(parts, "token").sortWithinPartitions("token", "comp", "node")
     more = open_.mapInArrow(_cross(percent), "a long, b long").distinct()
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialise(more.join(known, ["a", "b"], "left_anti"), "more")
+    release(placed, mixed, tried)
     near = _bounded(more, rows, percent)
+    release(more)
     if not near.isEmpty():
-        links = links.unionByName(_verified(near, _sets_of(docs, near, n, sketch), percent))
-        label = components(links)
+        again = _verified(docs, near, n, percent, sketch)
+        release(label)
+        label = materialise(components(links.unionByName(again)), "label")
+        release(again)
+    release(near, links)
 
-    out = rows.select("doc_id", "n_shingles", "node").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    out = rows.select("doc_id", "n_shingles", "node").join(few(label), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     out = materialise(out, "labelled")
-    ids = out.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    grouped = out.where("comp is not null").join(ids, "comp").select("doc_id", "n_shingles", "node", "comp", "component_id")
-    alone = out.where("comp is null").select("doc_id", "n_shingles", "node", "comp", F.col("doc_id").alias("component_id"))
-    return grouped.unionByName(alone)
+    release(rows, label)
+    ids = out.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    # Most components have one row: only the others are looked up.
+    ids = materialise(ids.where("_n > 1").select("comp", "component_id", F.lit(True).alias("_many")), "ids")
+    own = F.when(F.col("_many"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.join(few(ids), "comp", "left").select("doc_id", "n_shingles", "node", "comp", own)
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -451,19 +471,25 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest ``doc_id``; all rows without words stay."""
-    found = _components(docs, n, percent)
-    kept = materialise(found.where(F.col("comp").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("comp").alias("_comp")), "kept")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_d"))
-    if kept.where("_comp is not null").groupBy("_comp").count().where("count > 1").isEmpty() and kept.groupBy("_id").count().where("count > 1 or _id is null").isEmpty():
-        return rows.join(kept.select("_id"), F.col("_d") == F.col("_id"), "left_semi").select("_row.*")
-    # Ids repeat: rows are told apart by their sets, and one row of each component is picked by a hash order.
+    """``docs`` with one row of each component: that of the smallest ``doc_id``; all rows without words stay.
+
+    Of a component's rows that repeat this id, that of the smallest set name stays, and of rows that repeat both that
+    of the smallest hash of the whole row.
+    """
+    found = materialise(_components(docs, n, percent), "found")
+    kept = found.where(F.col("comp").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("comp").alias("_comp"))
+    kept = materialise(kept, "kept")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_d"))
+    # An id that all of its rows repeat, kept or not, does not tell which row to keep.
+    repeated = materialise(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "repeated")
+    if kept.join(few(repeated), F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi").isEmpty():
+        return rows.join(few(kept.select("_id")), F.col("_d") == F.col("_id"), "left_semi").select("_row.*")
     sketch = docs.sparkSession.sparkContext.broadcast(np.zeros(CELLS, np.uint32))
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_d"), "text")
-    named = _with_nodes(named, n, sketch)
-    least = kept.where("_comp is not null").groupBy("_comp").agg(F.min(F.struct(F.col("_id"), F.col("_node"))).alias("x")).select(F.col("x._id").alias("_id"), F.col("x._node").alias("_node"))
-    chosen = named.where("_node is not null").join(least.withColumnRenamed("_node", "_m"), (F.col("_node") == F.col("_m")) & F.col("_d").eqNullSafe(F.col("_id")), "left_semi")
-    return chosen.dropDuplicates(["_node"]).select("_row.*").unionByName(named.where("_node is null").select("_row.*"))
+    named = _with_nodes(rows.select("_row", "_d", F.col("_row.text").alias("text")), n, sketch)
+    least = kept.where("_comp is not null").groupBy("_comp").agg(F.min(F.struct(F.col("_id"), F.col("_node"))).alias("x")).select(F.col("x._id").alias("_id"), F.col("x._node").alias("_m"))
+    chosen = named.where("_node is not null").join(few(materialise(least, "least")), (F.col("_node") == F.col("_m")) & F.col("_d").eqNullSafe(F.col("_id")), "left_semi")
+    chosen = chosen.groupBy("_node").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    return chosen.select("_row.*").unionByName(named.where("_node is null").select("_row.*"))
 
 
 def _with_nodes(rows: DataFrame, n: int, sketch: Broadcast) -> DataFrame:

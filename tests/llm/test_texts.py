@@ -55,6 +55,19 @@ def test_ngram_join(docs, no_docs, n, percent):
     assert ngram_jaccard.join(no_docs, n, percent).count() == 0
 
 
+def test_one_row_of_each_group_stays_where_ids_repeat(spark):
+    rng = random.Random(8)
+    one, two = (" ".join(f"w{rng.randrange(900)}" for _ in range(40)) for _ in range(2))
+    rows = [(3, one, "a"), (5, one, "b"), (5, two, "c"), (5, two, "d"), (7, two, "e"), (None, "alone in the world of ids", "f"), (9, None, "g"), (9, " ", "h")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    for _ in range(2):  # in any order
+        got = sorted((r["doc_id"] or 0, r["text"] or "", r["note"]) for r in ngram_jaccard.keep_one(table).collect())
+        assert [(i, t) for i, t, _ in got] == [(0, rows[5][1]), (3, one), (5, two), (9, ""), (9, " ")]
+        assert got == sorted((r["doc_id"] or 0, r["text"] or "", r["note"]) for r in ngram_jaccard.keep_one(table.repartition(3, "note")).collect())
+    plain = table.where("doc_id in (3, 7) or note = 'b'")
+    assert sorted(r["doc_id"] for r in ngram_jaccard.keep_one(plain).collect()) == [3, 7]
+
+
 def test_ngram_join_of_random_near_copies(spark, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "HOT", 5)  # salted buckets
     monkeypatch.setattr(ngram_jaccard, "MEMBERS", 4)
