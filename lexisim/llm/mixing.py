@@ -11,8 +11,8 @@ block goes up a reduction tree of fan-in ``FAN``, so only the last open
 document of a source is drawn on its own and a source's words miss their
 target by less than one document.
 
-Documents are dealt into blocks by a hash of their key, so a source with a
-third of all rows is as many blocks as its size asks for; a block is streamed
+Documents are dealt into blocks by a hash of their key, a block for each
+``BLOCK`` documents of their source, so no block grows; a block is streamed
 in the order of another hash, with one open document of state. The draws are
 functions of the key and the seed: reruns agree.
 
@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexisim.llm.common import bound_batches, materialise
+from lexisim.llm.common import bound_batches, few, materialise
 
 WEIGHTS, MOST, SEED = (5.0, 2.0, 1.0), 3, 17
 #: Documents of a block, and blocks whose residuals meet in one block of the next level.
-BLOCK, FAN = 20_000, 64
+BLOCK, FAN = 1000, 64
 
 
 def n_words(text: Column) -> Column:
@@ -142,9 +142,9 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], _TYPES[t]) for n, t in fields], [n for n, _ in fields])
 
 
-def _level(rows: DataFrame, blocks: int, last: bool, seed: int) -> DataFrame:
+def _level(rows: DataFrame, last: bool, seed: int) -> DataFrame:
     keys = ["source", "block"]
-    dealt = rows.repartition(max(1, min(blocks, 4096)), *keys).sortWithinPartitions(*keys, "h", "doc_id", "size")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "h", "doc_id", "size")
     return dealt.mapInArrow(_settle(last, seed), _OUT)
 
 
@@ -153,22 +153,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     spark = docs.sparkSession
     bound_batches(spark)
     rows = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).select(F.col("source").alias("_s"), "source_size", "target")
+    sources = materialise(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count_if(F.col("size") > 0) / BLOCK).cast("long").alias("blocks")), "counts")
+    wanted = targets(sources.select("source", "source_size"), weights, most).select(F.col("source").alias("_s"), "source_size", "target")
+    wanted = wanted.join(sources.select("source", "blocks"), F.col("source").eqNullSafe(F.col("_s"))).drop("source")
     wanted = materialise(wanted, "targets")
-    # Counts decide how many blocks there are, so that a block has about BLOCK documents.
-    n = rows.where("size > 0").count()
-    blocks = max(1, -(-n // BLOCK))
+    # A source has as many blocks as its size asks for, so that a block has about BLOCK documents.
+    blocks = max(1, wanted.agg(F.max("blocks")).first()[0] or 1)
     share = F.col("target") / F.col("source_size")
     h = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed))
-    open_rows = rows.where("size > 0").join(wanted, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    open_rows = rows.where("size > 0").join(few(wanted), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     open_rows = open_rows.select(
         "doc_id", "source", "size", h.alias("h"), F.floor(share).cast("int").alias("whole"), (share - F.floor(share)).alias("p"),
-        F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed + 1)), F.lit(blocks)).alias("block"),
+        F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed + 1)), F.col("blocks")).alias("block"),
     )
     parts, left, now = [], open_rows, blocks
     while True:
         last = now == 1
-        done = materialise(_level(left, now, last, seed), "settled")
+        done = materialise(_level(left, last, seed), "settled")
         parts.append(done.where("more is not null"))
         if last:
             break
@@ -179,7 +180,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
         out = out.unionByName(part)
     none = rows.where("size = 0").select("doc_id", "source", "size", F.lit(0).alias("copies"))
     out = out.select("doc_id", "source", "size", (F.col("whole") + F.col("more")).alias("copies")).unionByName(none)
-    out = out.join(wanted, F.col("source").eqNullSafe(F.col("_s")))
+    out = out.join(few(wanted), F.col("source").eqNullSafe(F.col("_s")))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
@@ -187,11 +188,12 @@ def apply(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     """``docs`` as mixed: each row as many times as it is taken, with its own columns.
 
     Rows are matched by ``doc_id``; rows that share a ``doc_id`` are taken as often as the mix takes them together.
+    Where FEW documents or fewer are taken, no text is dealt out for it.
     """
     taken = mix(docs, weights, most, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows")).where("_all > 0")
     taken = materialise(taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_all", "_rows"), "taken")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_d"), F.col("source").alias("_o"), n_words(F.col("text")).alias("_n"))
-    rows = rows.join(taken, F.col("_d").eqNullSafe(F.col("_id")) & F.col("_o").eqNullSafe(F.col("_s")) & (F.col("_n") == F.col("_z")))
+    rows = rows.join(few(taken), F.col("_d").eqNullSafe(F.col("_id")) & F.col("_o").eqNullSafe(F.col("_s")) & (F.col("_n") == F.col("_z")))
     copies = F.col("_all")
     if not taken.where("_rows > 1").isEmpty():  # rows that share a key: the rest goes by a hash order within the key
         nth = F.row_number().over(Window.partitionBy("_id", "_s", "_z").orderBy(F.xxhash64("_row")))

@@ -31,6 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexisim.llm import common
 from lexisim.llm.common import materialise, release
 
 #: Base rules and the fitted part's parameters.
@@ -39,7 +40,7 @@ BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.08
 #: Different words to a bucket (above BUCKETS buckets), and labelled documents that fit a threshold.
 LOAD, LABELLED = 16, 20
 #: Buckets (of some 40 bytes) and keys (8 bytes) that are sent to all tasks, at most.
-BROADCAST, FEW = 1 << 21, 1 << 20
+BROADCAST, FEW = 1 << 21, common.FEW
 #: Tasks that count n-grams, for each core of the cluster.
 TASKS = 2
 #: A bucket is hot that has a BLOCKS-th of all n-grams; steps of a ratio; steps of the threshold.
