@@ -83,10 +83,14 @@ FROM b
 """
 
 
+#: Levels that the SQL of op8 has; the tables' paths are not deeper.
+LEVELS = 8
+
+
 def _op8() -> str:
-    """The template tree level by level, as ``url_filter`` builds it."""
+    """The template tree level by level, and its branches merged, as ``url_filter`` does it."""
     levels, last = [], "leaf0"
-    for k in range(1, url_filter.DEPTH + 2):
+    for k in range(1, LEVELS + 1):
         levels.append(f"""
 part{k} AS (SELECT *, coalesce(string_split(key, '/')[{k}], '') AS part FROM {last}),
 rare{k} AS (SELECT host, template, part FROM (SELECT host, template, part, sum(pages) AS m, count(*) OVER (PARTITION BY host, template) AS fan FROM part{k} WHERE part <> '' GROUP BY host, template, part)
@@ -94,7 +98,7 @@ rare{k} AS (SELECT host, template, part FROM (SELECT host, template, part, sum(p
 leaf{k} AS (SELECT p.host, p.key, p.b, p.l, p.pages, CASE WHEN p.part = '' THEN p.template WHEN w.host IS NULL THEN p.template || '/' || p.part ELSE p.template || '/*' END AS template
   FROM part{k} p LEFT JOIN rare{k} w ON p.host = w.host AND p.template = w.template AND p.part = w.part),""")
         last = f"leaf{k}"
-    d, z2 = url_filter.DEPTH, url_filter.Z**2
+    z, agree = url_filter.Z, url_filter.AGREE
     return f"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -107,16 +111,22 @@ j AS (SELECT *, CASE
   WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM s),
 v AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said,
   list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '{url_filter.VARIABLE}') THEN '*' ELSE x END) AS parts FROM j),
-r AS (SELECT page_id, host, path, rule, said, array_to_string(CASE WHEN len(parts) > {d} THEN list_append(parts[1:{d}], '**') ELSE parts END, '/') AS key FROM v),
+r AS (SELECT page_id, host, path, rule, said, array_to_string(parts, '/') AS key FROM v),
 leaf0 AS (SELECT host, key, count(*) FILTER (said = 'block') AS b, count(said) AS l, count(*) AS pages, '' AS template FROM r GROUP BY host, key),
 {"".join(levels)}
-n AS (SELECT host, template, regexp_replace(template, '^/[^/]*', '') AS tail, sum(b)::BIGINT AS b, sum(l)::BIGINT AS l FROM {last} GROUP BY ALL HAVING sum(l) > 0),
-o AS (SELECT host, tail, sum(b) AS pb, sum(l) AS pl FROM n GROUP BY ALL),
-a AS (SELECT n.*, (b * pl - pb * l)::DOUBLE * (b * pl - pb * l)::DOUBLE <= {z2!r} * pb::DOUBLE * (pl - pb)::DOUBLE * l::DOUBLE AS alike FROM n JOIN o USING (host, tail)),
-m AS (SELECT host, tail, sum(b) AS mb, sum(l) AS ml FROM a WHERE alike GROUP BY ALL),
-q AS (SELECT a.host, a.template, CASE WHEN alike THEN (mb + 1)::DOUBLE / (ml + 2)::DOUBLE ELSE (b + 1)::DOUBLE / (l + 2)::DOUBLE END AS purity FROM a LEFT JOIN m ON a.host = m.host AND a.tail = m.tail),
-t AS (SELECT x.host, x.key, coalesce(purity, 0.5) AS purity FROM {last} x LEFT JOIN q ON x.host = q.host AND x.template = q.template)
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity >= {url_filter.PURITY} THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN t USING (host, key)
+n AS (SELECT host, template, regexp_extract(template, '^/([^/]*)', 1) AS head, regexp_replace(template, '^/[^/]*', '') AS tail, sum(b)::BIGINT AS b, sum(l)::BIGINT AS l, sum(pages)::BIGINT AS n FROM {last} GROUP BY host, template),
+o AS (SELECT host, tail, sum(n) AS tn, sum(b) AS pb, sum(l) AS pl FROM n GROUP BY ALL),
+h AS (SELECT host, head, sum(n) AS hn FROM n GROUP BY ALL),
+a AS (SELECT host, sum(tn) AS all_n, count(*) - 1 AS free FROM o GROUP BY ALL),
+k AS (SELECT host, head, sum(n.n::DOUBLE * n.n * all_n / (hn::DOUBLE * tn)) - any_value(hn) <= any_value(free) + {z!r} * sqrt(2.0 * any_value(free)) + {url_filter.SLACK!r} AS alike
+  FROM n JOIN o USING (host, tail) JOIN h USING (host, head) JOIN a USING (host) GROUP BY host, head),
+c AS (SELECT n.*, k.alike AND (b * pl - pb * l)::DOUBLE * (b * pl - pb * l)::DOUBLE <= {z**2!r} * pb::DOUBLE * (pl - pb)::DOUBLE * l::DOUBLE AS same FROM n JOIN o USING (host, tail) JOIN k USING (host, head)),
+m AS (SELECT host, tail, sum(b) AS mb, sum(l) AS ml, count(*) AS mk FROM c WHERE same AND l > 0 GROUP BY ALL),
+w AS (SELECT host, sum(b) AS wb, sum(l) AS wl, count(DISTINCT head) AS wk FROM c WHERE same AND l > 0 GROUP BY ALL),
+q AS (SELECT c.host, c.template, CASE WHEN NOT same THEN (b + 1)::DOUBLE / (l + 2) WHEN l > 0 OR mk >= {agree} THEN (mb + 1)::DOUBLE / (ml + 2) WHEN wk >= {agree} THEN (wb + 1)::DOUBLE / (wl + 2) ELSE 0.5 END AS purity
+  FROM c LEFT JOIN m ON c.host = m.host AND c.tail = m.tail LEFT JOIN w ON c.host = w.host)
+SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN purity >= {url_filter.PURITY} THEN 'block' ELSE 'allow' END) AS verdict
+FROM r JOIN {last} x ON r.host = x.host AND r.key = x.key JOIN q ON q.host = x.host AND q.template = x.template
 """
 
 

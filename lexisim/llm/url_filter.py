@@ -1,14 +1,24 @@
 """URL filters: longest-match rules, and a path-template tree for what no rule fits.
 
-The tree is built per host from aggregated counts, level by level, so a host
-that holds most of the pages costs no more than its distinct paths. Segments
-that vary by form (numbers, dates, hexadecimal names) become ``*`` at once; at
-each of ``DEPTH`` levels a node with more than ``FANOUT`` different children
-has those with fewer than ``SUPPORT`` pages become ``*``; what is deeper is ``**``. The rules' verdicts label
-templates. Sibling branches (same host and tail, other head) whose labelled
-rates do not differ from their common rate (|z| <= ``Z``) are merged. A
-template is rejected if its smoothed purity, (blocked + 1) / (labelled + 2),
-is ``PURITY`` or more; a template without labels stays at 1/2 and is allowed.
+The tree is built per host from aggregated counts, level by level to the
+deepest path, so a host that holds most of the pages costs no more than its
+distinct paths. Segments that vary by form (numbers, dates, hexadecimal names)
+become ``*`` at once; a node with more than ``FANOUT`` different children has
+those with fewer than ``SUPPORT`` pages become ``*``. The rules' verdicts label
+templates; a template is a head (its first segment) and a tail.
+
+Branches (heads) of a host are merged if they are statistically alike: their
+pages spread over tails as those of all the host's branches do (chi-square
+within ``Z`` standard deviations of its mean), and the labelled rate of their
+tail does not differ from that of all branches (|z| <= ``Z``; no labels do not
+differ). A template is rejected if its smoothed purity, (blocked + 1) /
+(labelled + 2), is ``PURITY`` or more, counted over
+
+* its own labels, where its branch is unlike the others;
+* the merged branches' labels of its tail, where it has labels itself or
+  ``AGREE`` merged branches have (one alone tells nothing of its siblings);
+* the merged branches' labels of all tails, where ``AGREE`` of them have any;
+* nothing else: then it stays at 1/2 and is allowed.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, no
 rule and is allowed; repeated rows each get the verdict and count each as a
@@ -21,9 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexisim.llm.common import materialise
+from lexisim.llm.common import materialise, release
 
-DEPTH, FANOUT, SUPPORT, Z, PURITY = 4, 20, 10, 1.96, 0.9
+FANOUT, SUPPORT, Z, PURITY, AGREE = 20, 10, 1.96, 0.9, 2
+#: Room for rounding in the chi-square test.
+SLACK = 1e-6
 VARIABLE = r"^([0-9]+([._-][0-9]+)*|[0-9a-f]{8,}|[0-9a-f-]{36})(\.[a-z0-9]{1,5})?$"
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -59,8 +71,7 @@ def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     rows = pages.select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     rows = rows.withColumn("rule", _matched(rules, F.col("host"), F.col("path"), 1)).withColumn("_said", _matched(rules, F.col("host"), F.col("path"), 0))
     parts = F.transform(F.array_remove(F.split("path", "/"), ""), lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
-    rows = rows.withColumn("_parts", parts)
-    rows = rows.withColumn("_key", F.array_join(F.when(F.size("_parts") > DEPTH, F.concat(F.slice("_parts", 1, DEPTH), F.array(F.lit("**")))).otherwise(F.col("_parts")), "/")).drop("_parts")
+    rows = rows.withColumn("_key", F.array_join(parts, "/"))
 
     block, labelled = F.sum((F.col("_said") == "block").cast("long")), F.count("_said")
     tree = templates(rows.groupBy("host", "_key").agg(F.coalesce(block, F.lit(0)).alias("_block"), labelled.alias("_labelled"), F.count(F.lit(1)).alias("_pages")))
@@ -73,25 +84,41 @@ def templates(leaves: DataFrame) -> DataFrame:
     """host, _key, template and purity, from the counts (_block, _labelled, _pages) of each host's generalised paths."""
     tree = materialise(leaves.withColumn("template", F.lit("")), "paths")
     part = F.split("_key", "/")
-    for level in range(DEPTH + 1):
-        tree = tree.withColumn("_part", F.coalesce(F.get(part, F.lit(level)), F.lit("")))
-        children = tree.where("_part <> ''").groupBy("host", "template", "_part").agg(F.sum("_pages").alias("_n"))
+    deepest = tree.agg(F.max(F.size(part))).first()[0] or 0
+    for level in range(deepest):
+        grown = tree.withColumn("_part", F.coalesce(F.get(part, F.lit(level)), F.lit("")))
+        children = grown.where("_part <> ''").groupBy("host", "template", "_part").agg(F.sum("_pages").alias("_n"))
         wide = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("_fan")).where(F.col("_fan") > FANOUT)
         rare = children.where(F.col("_n") < SUPPORT).join(wide, ["host", "template"]).select("host", "template", "_part", "_n")
-        tree = tree.join(rare, ["host", "template", "_part"], "left")
-        grown = F.concat("template", F.lit("/"), F.when(F.col("_n").isNotNull(), F.lit("*")).otherwise(F.col("_part")))
-        tree = tree.withColumn("template", F.when(F.col("_part") != "", grown).otherwise(F.col("template"))).drop("_n", "_part")
-        tree = materialise(tree, "paths")  # each level reads the one before twice
-
-    nodes = tree.groupBy("host", "template").agg(F.sum("_block").alias("b"), F.sum("_labelled").alias("l"))
-    nodes = nodes.withColumn("tail", F.regexp_replace("template", "^/[^/]*", "")).where("l > 0")
-    pools = nodes.groupBy("host", "tail").agg(F.sum("b").alias("pb"), F.sum("l").alias("pl"))
-    nodes = nodes.join(pools, ["host", "tail"])
+        grown = grown.join(rare, ["host", "template", "_part"], "left")
+        longer = F.concat("template", F.lit("/"), F.when(F.col("_n").isNotNull(), F.lit("*")).otherwise(F.col("_part")))
+        grown = grown.withColumn("template", F.when(F.col("_part") != "", longer).otherwise(F.col("template"))).drop("_n", "_part")
+        before, tree = tree, materialise(grown, "paths")  # each level reads the one before twice
+        release(before)
+    return tree.join(purities(tree), ["host", "template"]).select("host", "_key", "template", "purity")
+
+
+def purities(tree: DataFrame) -> DataFrame:
+    """host, template and purity of each template, from the counts of its paths."""
+    nodes = tree.groupBy("host", "template").agg(F.sum("_block").alias("b"), F.sum("_labelled").alias("l"), F.sum("_pages").alias("n"))
+    nodes = nodes.withColumn("head", F.regexp_extract("template", "^/([^/]*)", 1)).withColumn("tail", F.regexp_replace("template", "^/[^/]*", ""))
+    nodes = materialise(nodes, "templates")
+    tails = nodes.groupBy("host", "tail").agg(F.sum("n").alias("tn"), F.sum("b").alias("pb"), F.sum("l").alias("pl"))
+    heads = nodes.groupBy("host", "head").agg(F.sum("n").alias("hn"))
+    hosts = tails.groupBy("host").agg(F.sum("tn").alias("all"), F.count(F.lit(1)).alias("_tails"))
+    both = nodes.join(tails, ["host", "tail"]).join(heads, ["host", "head"]).join(hosts, "host")
+    # Chi-square of a branch's tails against the host's: sum of n^2 / (hn * tn / all), less hn; absent tails add nothing.
+    spread = F.sum(F.col("n").cast("double") * F.col("n") * F.col("all") / (F.col("hn").cast("double") * F.col("tn"))) - F.first("hn")
+    free = F.first("_tails") - 1
+    like = both.groupBy("host", "head").agg((spread <= free + Z * F.sqrt(2.0 * free) + SLACK).alias("_like"))
     # |b/l - p| <= Z sqrt(p (1 - p) / l), squared and cleared of divisions, p = pb / pl
     gap = F.col("b") * F.col("pl") - F.col("pb") * F.col("l")
-    nodes = nodes.withColumn("alike", gap.cast("double") * gap <= Z * Z * F.col("pb") * (F.col("pl") - F.col("pb")) * F.col("l"))
-    merged = nodes.where("alike").groupBy("host", "tail").agg(F.sum("b").alias("mb"), F.sum("l").alias("ml"))
-    nodes = nodes.join(merged, ["host", "tail"], "left")
-    own = lambda x, y: F.when(F.col("alike"), F.col(x)).otherwise(F.col(y))
-    nodes = nodes.select("host", "template", ((own("mb", "b") + 1) / (own("ml", "l") + 2)).alias("purity"))
-    return tree.join(nodes, ["host", "template"], "left").select("host", "_key", "template", F.coalesce("purity", F.lit(0.5)).alias("purity"))
+    same = gap.cast("double") * gap <= Z * Z * F.col("pb") * (F.col("pl") - F.col("pb")) * F.col("l")
+    nodes = nodes.join(tails.drop("tn"), ["host", "tail"]).join(like, ["host", "head"]).withColumn("alike", F.col("_like") & same)
+    nodes = materialise(nodes.select("host", "template", "head", "tail", "b", "l", "alike"), "alike")
+    said = nodes.where("alike and l > 0")
+    merged = said.groupBy("host", "tail").agg(F.sum("b").alias("mb"), F.sum("l").alias("ml"), F.count(F.lit(1)).alias("mk"))
+    whole = said.groupBy("host").agg(F.sum("b").alias("wb"), F.sum("l").alias("wl"), F.count_distinct("head").alias("wk"))
+    rate = lambda b, l: (F.col(b) + 1) / (F.col(l) + 2)  # noqa: E731, E741
+    purity = F.when(~F.col("alike"), rate("b", "l")).when((F.col("l") > 0) | (F.col("mk") >= AGREE), rate("mb", "ml")).when(F.col("wk") >= AGREE, rate("wb", "wl")).otherwise(0.5)
+    return nodes.join(merged, ["host", "tail"], "left").join(whole, "host", "left").select("host", "template", purity.alias("purity"))
