@@ -4,9 +4,9 @@
 smallest id among equal payloads of ``least`` bytes or more, a ``revisit`` for
 the others. A response block larger than ``segment`` bytes is split into a
 first record and ``continuation`` records that name their origin. ``read``
-parses whole records where they are, groups continuations by origin, orders
-them by segment number, verifies numbers and total length, and decodes the
-chunked transfer framing.
+parses each archive once, whole records where they are; it groups continuations
+by origin, orders them by segment number, verifies numbers and total length,
+and decodes the chunked transfer framing.
 
 The archives are gzip files written and read by Spark's own file sources, so
 any file system that Spark knows will do. A file holds ``PER_FILE`` records of
@@ -34,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexisim.llm.common import bound_batches, materialise, new_path
+from lexisim.llm.common import bound_batches, drop_path, materialise, new_path
 
 #: Bytes of a block in one record; bytes of an HTTP chunk; records of a file.
-SEGMENT, CHUNK, PER_FILE = 32 << 10, 8 << 10, 2000
+SEGMENT, CHUNK, PER_FILE = 4 << 10, 8 << 10, 2000
 #: Marks a null page id in record identifiers; larger than any id that sorts before it.
 _LAST = (1 << 63) - 1
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -213,7 +213,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
     bound_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    parsed = files.mapInArrow(_parse, _PARSED)
+    parsed = materialise(files.mapInArrow(_parse, _PARSED), "records")
     whole = parsed.where("kind = 'response' and origin is null").select("id", "page_id", "digest", F.col("body").alias("payload"))
     parts = parsed.where("origin is not null").groupBy("origin").agg(
         F.first("id", True).alias("_any"), F.max(F.when(F.col("kind") == "response", F.col("page_id"))).alias("page_id"), F.max("digest").alias("digest"), F.max("total").alias("total"),
@@ -232,4 +232,6 @@ def round_trip(pages: DataFrame, least: int = 0, segment: int = SEGMENT) -> Data
     """Writes ``pages`` to archives in the shared folder and reads them back."""
     path = new_path(pages.sparkSession, "warc")
     write(pages, path, least, segment)
-    return read(pages.sparkSession, path)
+    back = read(pages.sparkSession, path)
+    drop_path(pages.sparkSession, path)  # its records are a table now
+    return back

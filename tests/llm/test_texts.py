@@ -259,6 +259,15 @@ def test_warc(spark, tmp_path):
         warc.read(spark, str(damaged)).collect()
 
 
+def test_many_pages_pass_through_segments(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    warc.write(pages, str(tmp_path / "a"))
+    raw = b"".join(gzip.open(f).read() for f in (tmp_path / "a").glob("*.gz"))
+    assert raw.count(b"WARC-Segment-Number: 1\r\n") > 40
+    back = {r["page_id"]: bytes(r["payload"]) for r in warc.read(spark, str(tmp_path / "a")).where("record_type = 'response'").collect()}
+    assert all(r["html"].encode() == back[r["page_id"]] for r in pages.collect() if r["page_id"] in back) and len(back) > 100
+
+
 def test_token_counts(spark, docs, no_docs, tmp_path):
     with open(token_counts.VOCABULARY, "rb") as f:
         encoder = token_counts._encoder(f.read(), token_counts.PATTERN)
