@@ -20,7 +20,9 @@ Two sets link when ``100 * common >= percent * union``.
 
 No pair is lost: every pair that could link and is not already connected gets
 verified in the second round. Buckets, classes and components are never
-gathered; hot shingles are salted (``HOT``).
+gathered; hot shingles are salted (``HOT``) in both rounds. Texts that share a
+hot shingle in their prefix but differ are still compared pair by pair, as far
+as sizes, places and histograms leave room.
 
 Defined cases: null, empty and white texts have no shingles and are linked
 with nothing (their component is their own id); repeated rows are copies; a
@@ -187,16 +189,20 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross(percent: int):
-    """Pairs of a bucket's nodes in different components whose sizes and places let them link."""
+    """Pairs of a bucket's nodes in different components whose sizes and places let them link.
+
+    A salted bucket comes in cells: (x, y) has the rows of salts x and y, whose pairs are formed there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _read_groups(batches, ["token"]):
-            token, comp, node, n, pos = (g[c] for c in ("token", "comp", "node", "n", "pos"))
-            bucket = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            run_ = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (comp[1:] != comp[:-1])])
-            stop_bucket = np.repeat(np.append(bucket[1:], len(token)), np.diff(np.append(bucket, len(token))))
+        for g in _read_groups(batches, ["token", "x", "y"]):
+            token, x, y, salt, comp, node, n, pos = (g[c] for c in ("token", "x", "y", "salt", "comp", "node", "n", "pos"))
+            other = np.r_[True, (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+            cell = np.flatnonzero(other)
+            run_ = np.flatnonzero(other | np.r_[True, comp[1:] != comp[:-1]])
+            stop_cell = np.repeat(np.append(cell[1:], len(token)), np.diff(np.append(cell, len(token))))
             stop_run = np.repeat(np.append(run_[1:], len(token)), np.diff(np.append(run_, len(token))))
-            many = stop_bucket - stop_run  # partners after the own component's rows
+            many = stop_cell - stop_run  # partners after the own component's rows
             total = np.zeros(len(many) + 1, np.int64)
             np.cumsum(many, out=total[1:])
             start = 0
@@ -207,7 +213,7 @@ def _cross(percent: int):
                     i = np.searchsorted(total, flat, "right") - 1
                     j = stop_run[i] + flat - total[i]
                     need = (percent * (n[i] + n[j]) + 99 + percent) // (100 + percent)
-                    ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+                    ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & ((x[i] == y[i]) | (salt[i] != salt[j]))
                     i, j = i[ok], j[ok]
                     if len(i):
                         a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
@@ -247,8 +253,9 @@ def walk(probes: list[np.ndarray], members: list[tuple[int, np.ndarray]], percen
     """For each member (number of its probe, ordered set): whether it links with its probe.
 
     The members of each probe are a trie: sorted, with the length that each shares with the one before. The walk
-    goes down all tries level by level. Of members on one path only the first looks its shingle up; the others take
-    over the overlap. A member leaves once it links or once the rest of its set or of the probe's can't suffice.
+    goes down all tries level by level. A subtree looks its shingle up once and has one partial overlap. It is pruned
+    once what remains of its longest member, or of the probe behind the last hit, can't lift the overlap to what its
+    least demanding member needs; a member leaves it once it links or ends.
     """
     linked = np.zeros(len(members), bool)
     if not members:
@@ -274,30 +281,43 @@ def walk(probes: list[np.ndarray], members: list[tuple[int, np.ndarray]], percen
         shared[1:] = np.minimum(stop - edge[:-1], both)
     probe_size = np.array([len(p) for p in probes])
     keys = mix64(np.concatenate(probes) + np.repeat(np.arange(len(probes), dtype=np.uint64), probe_size) * _K1)
-    keys.sort()
+    ranks = np.argsort(keys)
+    keys = keys[ranks]
+    ranks = ranks - np.repeat(np.cumsum(probe_size) - probe_size, probe_size)[ranks]  # places within their probes
     need = (percent * (size + probe_size[group]) + 99 + percent) // (100 + percent)
+    slack = size - need  # shingles that a member may have and its probe not
 
     live = np.flatnonzero(np.minimum(size, probe_size[group]) >= need)
     same = _shared_of(shared, live)
-    overlap = np.zeros(len(live), np.int64)
     depth = 0
+    # A subtree is a run of live members on one path; it has one overlap, and the place of the probe's last hit.
+    runs = np.flatnonzero(np.r_[True, group[live[1:]] != group[live[:-1]]]) if len(live) else live
+    overlap, last = np.zeros(len(runs), np.int64), np.full(len(runs), -1)
     while len(live):
-        head = same <= depth  # the first on its path of depth + 1
-        head[0] = True
-        lead = np.flatnonzero(head)
-        x = mix64(tokens[off[live[lead]] + depth] + group[live[lead]].astype(np.uint64) * _K1)
-        place = np.searchsorted(keys, x)
-        hit = keys[np.minimum(place, len(keys) - 1)] == x
-        overlap += np.repeat(hit, np.diff(np.append(lead, len(live))))
+        lead = np.flatnonzero(np.r_[True, same[1:] <= depth])
+        up = np.searchsorted(runs, lead, "right") - 1
+        runs, overlap, last = lead, overlap[up], last[up]
+        probe = group[live[lead]]
+        x = mix64(tokens[off[live[lead]] + depth] + probe.astype(np.uint64) * _K1)
+        place = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+        hit = keys[place] == x
+        overlap = overlap + hit
+        last = np.where(hit, ranks[place], last)
         depth += 1
-        n, want = size[live], need[live]
-        done = overlap >= want
-        gone = done | (overlap + n - depth < want)
-        if gone.any():
+        least = np.minimum.reduceat(need[live], runs)
+        # What is left of a subtree's longest member, or of the probe behind its last hit, can no longer suffice.
+        cut = (depth - overlap > np.maximum.reduceat(slack[live], runs)) | (overlap + probe_size[probe] - last - 1 < least)
+        leave = cut | (overlap >= least) | (np.minimum.reduceat(size[live], runs) <= depth)
+        if leave.any():
+            count = np.diff(np.append(runs, len(live)))
+            each, seen = np.repeat(overlap, count), np.repeat(last, count)
+            done = each >= need[live]
             linked[live[done]] = True
-            stay = np.flatnonzero(~gone)
-            live, overlap = live[stay], overlap[stay]
+            stay = np.flatnonzero(~(done | np.repeat(cut, count) | (size[live] <= depth)))
+            live, each, seen = live[stay], each[stay], seen[stay]
             same = _shared_of(shared, live)
+            runs = np.flatnonzero(np.r_[True, same[1:] < depth]) if len(live) else live
+            overlap, last = each[runs], seen[runs]
     out = np.zeros(len(members), bool)
     out[np.array(order)] = linked
     return out
@@ -437,11 +457,15 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     links = _verified(docs, near, n, percent, sketch)
     release(near)
     label = materialise(components(links), "label")
-    placed = shared.select("token", "node", "n", "pos").join(few(label), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = shared.select("token", "salts", "node", "n", "pos").join(few(label), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = materialise(placed, "placed")
     release(shared)
     mixed = materialise(placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token"), "mixed")
-    open_ = placed.join(few(mixed), "token").repartition(parts, "token").sortWithinPartitions("token", "comp", "node")
+    # A salted bucket's rows go to each cell that their salt is part of, so no task holds more than two salts' rows.
+    open_ = placed.join(few(mixed), "token").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    open_ = open_.select("token", "salt", "comp", "node", "n", "pos", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("_s"))
+    open_ = open_.select("token", F.least("salt", "_s").alias("x"), F.greatest("salt", "_s").alias("y"), "salt", "comp", "node", "n", "pos")
+    open_ = open_.repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y", "comp", "node")
     more = open_.mapInArrow(_cross(percent), "a long, b long").distinct()
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialise(more.join(known, ["a", "b"], "left_anti"), "more")

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexisim.llm.common import bound_batches, materialise, new_path, text_bytes
+from lexisim.llm.common import bound_batches, drop_path, materialise, new_path, text_bytes
 
 #: Where the vocabulary is; the end-of-document id, free in it; the split pattern that belongs to it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -162,6 +162,7 @@ def count(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN,
     listed = listed.select(F.lit(True).alias("_listed"), F.col("doc_id").cast("long").alias("doc_id"), "part", "place")
     number = lambda form: F.regexp_extract("file", form, 1).cast("long")
     found = scan(spark, path, end).select(number(r"part-(\d+)-[^/]*$").cast("int").alias("part"), (number(r"-c(\d+)(?:\.[^/]*)?$") * PER_FILE + F.col("place")).alias("place"), "n_tokens")
+    drop_path(spark, path)  # what was found there is a table now
     both = listed.join(found, ["part", "place"], "full")
     lost = F.raise_error(F.lit("documents and flat files do not have the same rows")).cast("long")
     return both.select("doc_id", F.when(F.col("_listed").isNull() | F.col("n_tokens").isNull(), lost).otherwise(F.col("n_tokens")).alias("n_tokens"), "part", "place")
