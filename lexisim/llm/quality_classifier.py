@@ -7,8 +7,8 @@ buckets of words, scaled to unit length, and statistics of the text's make-up
 and size; labels, language, source and ids are not among them.
 
 The machine is fitted on the driver on at most ``TRAIN_ROWS`` labelled rows
-(those with the smallest hash of their id), the only bounded part; every text
-is scored whole. The same rows and seed give the same model.
+(those with the smallest hash of their id, and ``4 * TRAIN_ROWS`` different
+texts under these ids), the only bounded part; every text is scored whole. The same rows and seed give the same model.
 
 Defined cases: null texts are empty, and empty texts are scored as any other;
 a document with several labels counts as good if all of them are; labels
@@ -176,7 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(b, pa.binary()) for b in bits)], ["doc_id", "bucket", "value", "stats"])
 
     picked = docs.where(F.col("doc_id").isin(list(label_of))).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, bucket binary, value binary, stats binary")
-    picked = sorted({(r["doc_id"], bytes(r["bucket"]), bytes(r["value"]), bytes(r["stats"])) for r in picked.limit(4 * rows).collect()})
+    # Texts under one id are examples each; of more than 4 * rows different ones, those of the smallest hash.
+    picked = picked.distinct().orderBy(F.xxhash64("doc_id", "bucket", "value", "stats"), "doc_id").limit(4 * rows)
+    picked = sorted((r["doc_id"], bytes(r["bucket"]), bytes(r["value"]), bytes(r["stats"])) for r in picked.collect())
     sets = [(np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(float), np.frombuffer(s, float)) for _, b, v, s in picked]
     return train(sets, np.array([label_of[d] for d, *_ in picked]))
 
