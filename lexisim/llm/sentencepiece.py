@@ -1,11 +1,13 @@
 """SentencePiece encoding by forward filtering and backward sampling, and its decoding.
 
 The piece lattice of a text falls apart into units that no piece spans (a run
-of spaces with the word after it; a line end), so each different unit of a
-chunk of texts is filtered forward once, all units side by side, and every
-occurrence is sampled backward from its unit's lattice. The draws are a
-function of the row's key, the seed and the occurrence's number in its text:
-the same row always gets the same segmentation, on any cluster.
+of spaces with the word after it; a line end), so each different unit is
+filtered forward once, the new units of a chunk of texts side by side, and every
+occurrence is sampled backward from its unit's lattice. A worker keeps the
+lattices it has met, up to ``ARCS`` arcs, then starts anew. A lattice is a
+function of its unit alone and the draws are one of the row's key, the seed and
+the occurrence's number in its text: the same row always gets the same
+segmentation, on any cluster.
 
 The pieces come from a model file that is read, never trained. Its merge ranks
 r stand for log-probabilities by Zipf's law, ``-ln(r + SHIFT) - ln(ln V)``,
@@ -16,7 +18,8 @@ decoding gives back every text exactly.
 
 Defined cases: a null text has null ids, an empty one has none; any key
 (null too) is a key; repeated rows get equal ids; very long texts and very
-long words are encoded whole; an empty table gives an empty result.
+long words are encoded whole (some 150 bytes of memory for each of a text's
+characters, beyond ``PIECE`` of them); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from lexisim.llm.common import bound_batches, chunks, mix64
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED, SHIFT = 1.0, 29, 2.7
-#: Text bytes whose units are filtered side by side: more text has relatively fewer different units.
-PIECE = 3 << 20
+#: Text bytes that are encoded side by side; arcs of lattices (of 13 bytes) that a worker keeps.
+PIECE, ARCS = 1 << 19, 1 << 22
 MARK = 0x2581  # stands for a space in pieces
 _ESCAPED = 0x110000  # a marker character of the text itself, while encoding
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -79,7 +82,43 @@ class Pieces:
             order = np.argsort(h)
             few = np.zeros(1 << 16, bool)
             few[(h >> np.uint64(48)).astype(np.int64)] = True
-            self.tables.append((h[order], np.array([k for k, _ in own], np.int64)[order], alpha * np.array([lp for _, lp in own])[order], few))
+            self.tables.append((h[order], np.array([k for k, _ in own], np.int32)[order], alpha * np.array([lp for _, lp in own])[order], few))
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the lattices: units (hash, first node, nodes), nodes (first arc) and arcs (cumulative share, length, piece)."""
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.base, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first, self.n_nodes, self.n_arcs = np.zeros(0, np.int32), 0, 0
+        self.cum, self.length, self.ident = np.zeros(0), np.zeros(0, np.int8), np.zeros(0, np.int32)
+
+    def slots(self, h: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Places in ``base`` and ``size`` of different units, given by hash (in order) and by their characters."""
+        at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
+        new = np.flatnonzero(self.known[at] != h) if len(self.known) else np.arange(len(h))
+        if not len(new):
+            return self.slot[at]
+        first, cum, length, ident = _lattice(self, codes, start[new], size[new])
+        if self.n_arcs + len(cum) > ARCS and len(self.known):
+            self.forget()
+            return self.slots(h, codes, start, size)
+        self.first = _stored(self.first, self.n_nodes, (first + self.n_arcs).astype(np.int32))
+        self.cum, self.length, self.ident = (_stored(x, self.n_arcs, y) for x, y in ((self.cum, cum), (self.length, length), (self.ident, ident)))
+        base = self.n_nodes + np.cumsum(size[new]) - size[new]
+        self.n_nodes, self.n_arcs = self.n_nodes + len(first), self.n_arcs + len(cum)
+        known, slot = np.append(self.known, h[new]), np.append(self.slot, len(self.base) + np.arange(len(new)))
+        order = np.argsort(known, kind="stable")
+        self.known, self.slot = known[order], slot[order]
+        self.base, self.size = np.append(self.base, base), np.append(self.size, size[new])
+        return self.slot[np.searchsorted(self.known, h)]
+
+
+def _stored(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """``held`` (of which n entries count) with ``more`` behind them; grown by half where there is no room."""
+    if n + len(more) > len(held):
+        held = np.concatenate([held[:n], np.empty((n + len(more)) * 3 // 2 - n, held.dtype)])
+    held[n : n + len(more)] = more
+    return held
 
 
 def _extend(h: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -101,8 +140,8 @@ def _pieces(model: bytes, alpha: float) -> Pieces:
 def _lattice(p: Pieces, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
     """Arcs into each node of the units given by ``start`` and ``size``, with cumulative conditional probabilities.
 
-    Nodes are numbered unit by unit, 1 to size each. Gives base (node number before each unit's first), the first
-    arc of each node, and each arc's node + cumulative probability, length and piece (negative: -1 - character).
+    Nodes are numbered unit by unit, 1 to size each. Gives the first arc of each node, and each arc's cumulative
+    probability within its node, length and piece (negative: -1 - character).
     """
     base = np.zeros(len(size) + 1, np.int64)
     np.cumsum(size, out=base[1:])
@@ -124,8 +163,8 @@ def _lattice(p: Pieces, codes: np.ndarray, start: np.ndarray, size: np.ndarray)
         at = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
         hit = hashes[at] == h[maybe] if len(maybe) else np.zeros(0, bool)
         maybe, at = maybe[hit], at[hit]
-        nodes.append(live[maybe] + n - 1)
-        lengths.append(np.full(len(maybe), n))
+        nodes.append((live[maybe] + n - 1).astype(np.int32))
+        lengths.append(np.full(len(maybe), n, np.int8))
         ids.append(own[at])
         logs.append(logp[at])
         if n == 1:
@@ -135,13 +174,15 @@ def _lattice(p: Pieces, codes: np.ndarray, start: np.ndarray, size: np.ndarray)
             code = text[bare].astype(np.int64)
             n_bytes = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
             n_bytes[code == _ESCAPED] = 3
-            nodes.append(bare)
-            lengths.append(np.ones(len(bare), np.int64))
-            ids.append(-1 - code)
+            nodes.append(bare.astype(np.int32))
+            lengths.append(np.ones(len(bare), np.int8))
+            ids.append((-1 - code).astype(np.int32))
             logs.append(p.byte_logp * n_bytes)
     node, length, ident, logp = (np.concatenate(x) for x in (nodes, lengths, ids, logs))
-    order = np.argsort(node * 64 + 63 - length, kind="stable")  # the longest piece first: as a rule the likeliest
+    del nodes, lengths, ids, logs
+    order = np.argsort(node.astype(np.int64) * 64 + 63 - length, kind="stable")  # the longest piece first: as a rule the likeliest
     node, length, ident, logp = node[order], length[order], ident[order], logp[order]
+    del order
     first = np.searchsorted(node, np.arange(total + 1))
 
     # Forward: the mass of a node is the sum over its arcs of the mass they come from times p. All units move on
@@ -169,15 +210,19 @@ def _lattice(p: Pieces, codes: np.ndarray, start: np.ndarray, size: np.ndarray)
                 value[back[inside]] /= np.broadcast_to(factor[:, None], back.shape)[inside]
                 if e < p.longest:  # later no arc comes from a unit's start
                     origin[unit[big]] /= factor
-    ends = first[1:]
-    # Cumulative shares within each node.
-    total_of = np.add.reduceat(share, first[:-1]) if total else share
-    share = share / total_of[node]
-    sums = np.cumsum(share)
-    below = np.r_[0.0, sums][first[:-1]]
-    cum = sums - below[node]
-    cum[ends - 1] = 1.0
-    return base, first, cum, length, ident
+    # Cumulative shares within each node, arc by arc, so that they do not depend on what else is in the chunk.
+    n_arcs = np.diff(first)
+    share /= np.repeat(_node_sums(share, first), n_arcs)
+    for k in range(1, int(n_arcs.max(initial=0))):
+        at = first[:-1][n_arcs > k] + k
+        share[at] += share[at - 1]
+    share[first[1:] - 1] = 1.0
+    return first[:-1], share, length, ident
+
+
+def _node_sums(share: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums over each node's arcs."""
+    return np.add.reduceat(share, first[:-1]) if len(share) else share
 
 
 def encode_chunk(p: Pieces, texts: list[str], keys: np.ndarray, seed: int) -> list[np.ndarray]:
@@ -203,14 +248,15 @@ def encode_chunk(p: Pieces, texts: list[str], keys: np.ndarray, seed: int) -> li
     # Different units, by hash of their characters.
     h = _unit_hashes(mix64(codes.astype(np.uint64) + np.uint64(1)), start, size)
     distinct, pick, which = np.unique(h, return_index=True, return_inverse=True)
-    base, first, cum, length, ident = _lattice(p, codes, start[pick], size[pick])
+    which = p.slots(distinct, codes, start[pick], size[pick])[which]
+    first, cum, length, ident = p.first, p.cum, p.length, p.ident
 
     # Backward: every occurrence steps from its last node to its unit's start.
     doc = np.searchsorted(off, start, "right") - 1
     # Empty texts share an offset with the next text; "right" picks the last of them, which is the one with characters.
     number = np.arange(len(start)) - np.searchsorted(start, off[doc])
     state = mix64(keys[doc] + mix64(number.astype(np.uint64) * _GOLDEN + np.uint64(seed)))
-    occ, at, floor = np.arange(len(start)), base[which + 1] - 1, base[which]
+    occ, at, floor = np.arange(len(start)), p.base[which] + p.size[which] - 1, p.base[which]
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     while len(occ):
         state = mix64(state + _GOLDEN)
