@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Text bytes that one vectorised kernel call sees (one longer text may exceed it).
 CHUNK_BYTES = 1 << 20
 #: Bytes and rows that an Arrow batch between the JVM and Python holds.
-BATCH_BYTES, BATCH_ROWS = 16 << 20, 4000
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4000
 
 #: Rows (of some ten bytes each) that are sent to all tasks, at most.
 FEW = 1 << 20
