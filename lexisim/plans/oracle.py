@@ -132,6 +132,81 @@ def _loss(each: str) -> str:
     return f"{_LABELLED}, q AS (SELECT {_clip('0.6::DOUBLE * a + 0.4::DOUBLE * b')}::DOUBLE AS p, y FROM v) SELECT round(avg({each}), 6) AS loss, count(*) AS n FROM q"
 
 
+#: Code points beyond ASCII that the tables or the unusual strings have. The engine's edit distances count bytes;
+#: mapped to bytes that nothing else uses, such letters count once.
+_WIDE = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíïñóöúü東京"
+
+
+def _bytes(s: str) -> str:
+    return f"translate({s}, '{_WIDE}', {' || '.join(f'chr({k})' for k in [*range(1, 9), *range(14, 32)][: len(_WIDE)])})"
+
+
+_LONGEST = "greatest(length({x}), length({y}))"
+
+
+def _edits(x: str, y: str) -> str:
+    most = _LONGEST.format(x=x, y=y)
+    return f"CASE WHEN {most} = 0 THEN 1 WHEN {x} IS NULL OR {y} IS NULL THEN NULL ELSE 1 - levenshtein({_bytes(x)}, {_bytes(y)}) / {most} END"
+
+
+def _winkler(x: str, y: str) -> str:
+    jaro = f"(CASE WHEN {x} = '' AND {y} = '' THEN 1 ELSE jaro_similarity({_bytes(x)}, {_bytes(y)}) END)"
+    return f"CASE WHEN {x} IS NULL OR {y} IS NULL THEN NULL WHEN {jaro} = 0 THEN 0 ELSE {jaro} + least(4, {_PREFIX.format(x=x, y=y)}) * 0.1::DOUBLE * (1 - {jaro}) END"
+
+
+def _affix(x: str, y: str) -> str:
+    most = _LONGEST.format(x=x, y=y)
+    return f"CASE WHEN {x} IS NULL OR {y} IS NULL THEN NULL WHEN {most} = 0 THEN 1 ELSE {_PREFIX.format(x=x, y=y)} / {most} END"
+
+
+def _set_share(x: str, y: str, n: int, before: int, after: int, overlap: bool) -> str:
+    """Jaccard or overlap of the different padded n-grams; 1 where there is nothing to share."""
+    grams = lambda v: f"list_distinct(list_transform(range(1, length({v}) + {before + after - n + 2}), lambda i: substr('{' ' * before}' || {v} || '{' ' * after}', i, {n})))"
+    a, b = grams(x), grams(y)
+    both = f"len(list_intersect({a}, {b}))"
+    below = f"least(len({a}), len({b}))" if overlap else f"(len({a}) + len({b}) - {both})"
+    return f"CASE WHEN {x} IS NULL OR {y} IS NULL THEN NULL WHEN {below} = 0 THEN 1 ELSE {both} / {below} END"
+
+
+def _six(**values: str) -> str:
+    return ", ".join(f"round(round(({v})::DOUBLE, 9), 6) AS {k}" for k, v in values.items())
+
+
+_NEIGHBOURS = """WITH w AS (SELECT regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: {'a': w[i], 'b': w[i + 1]})) AS s FROM w), p AS (SELECT s.a AS x_1, s.b AS x_2 FROM s)"""
+_DICE = "2 * len(list_intersect({a}, {b})) / (len({a}) + len({b}))"
+
+
+def _raw_dice(x: str, y: str) -> str:
+    a, b = (f"list_distinct(list_transform(range(1, length({v}) + 1), lambda i: substr({v} || ' ', i, 2)))" for v in (x, y))
+    return _DICE.format(a=a, b=b)
+
+
+def growing_sql(odd: list[tuple]) -> dict[str, str]:
+    """Name -> SQL for neighbouring words, unusual strings and the precomputed matrix."""
+    quoted = lambda v: "NULL::VARCHAR" if v is None else f"'{v}'"
+    rows = ", ".join(f"({k}, {quoted(a)}, {quoted(b)})" for k, (a, b) in enumerate(odd))
+    low = ("lower(x_1)", "lower(x_2)")
+    raw = ("x_1", "x_2")
+    unusual = _six(
+        levenshtein=_edits(*raw), folded=_edits(*low), jaro_winkler=_winkler(*raw), prefix=_affix(*raw), lcsuf=_affix("reverse(x_1)", "reverse(x_2)"),
+        trigrams=_set_share(*low, 3, 2, 0, False), letters=_set_share(*low, 1, 0, 0, True),
+    )
+    single = {
+        "aline": _ALINE, "bisim": _BISIM, "editex": _editex(f"1 - {_EDITEX_NORM}"), "jaro_winkler": _rounded(_JW), "lcs": _LCS, "lcsuf": _rounded(_SUF),
+        "levenshtein": _rounded(_LEV), "dice": _sets("2 * c / (a + b)"), "jaccard": _plain(f"round(({_set_share(*raw, 3, 2, 2, False)})::DOUBLE, 6)"), "prefix": _rounded(_PRE),
+    }
+    named = ", ".join(f"s_{k} AS (SELECT x_1, x_2, value AS {k} FROM ({v}))" for k, v in single.items())
+    joined = " JOIN ".join(f"s_{k}" if n == 0 else f"s_{k} USING (x_1, x_2)" for n, k in enumerate(single))
+    return {
+        "neighbour_edits": f"{_NEIGHBOURS} SELECT x_1, x_2, {_six(levenshtein=_edits(*raw), jaro_winkler=_winkler(*raw))} FROM p",
+        "neighbour_affixes": f"{_NEIGHBOURS} SELECT x_1, x_2, {_six(prefix=_affix(*raw), lcsuf=_affix('reverse(lower(x_1))', 'reverse(lower(x_2))'))} FROM p",
+        "neighbour_grams": f"{_NEIGHBOURS} SELECT x_1, x_2, {_six(trigrams=_set_share(*low, 3, 2, 0, False), letters=_set_share(*low, 1, 0, 0, True), raw=_raw_dice(*raw))} FROM p",
+        "odd_strings": f"WITH p(row_id, x_1, x_2) AS (VALUES {rows}) SELECT row_id, {unusual} FROM p",
+        "mass_precompute": f"WITH {named} SELECT x_1, x_2, {', '.join(single)} FROM {joined}",
+    }
+
+
 _STRATA = "s AS (SELECT CASE WHEN quality IS NULL THEN 'unlabeled' WHEN quality >= 0.5 THEN 'positive' ELSE 'negative' END AS stratum, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)"
 _TRAIN = "greatest(least(greatest(round(n * 0.8::DOUBLE), 1), n - 1), 0)::BIGINT"
 _SPLIT = f"WITH {_STRATA}, t AS (SELECT stratum, n, {_TRAIN} AS k FROM s)"
