@@ -279,14 +279,14 @@ class Editex(Scorer):
 
     def _most(self, s: Column) -> Column:
         """Cost of deleting all letters."""
-        gap, _ = self._matrices()
-        alone = lambda s: np.array([gap[s[1:], s[:-1]].sum() + float(self.costs["diff"])]) if len(s) else np.zeros(1)
-
-        def run(t: pa.Array) -> pa.Array:
-            return pa.array([None if v is None else float(alone(kernels.code_points(v) - 97)[0]) for v in t.to_pylist()], pa.float64())
-
-        run.__annotations__ = {"t": pa.Array, "return": pa.Array}
-        return F.arrow_udf(run, "double")(self._checked(s))
+        t, n = self._checked(s), F.char_length(self._checked(s))
+        both = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(t, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+        close = F.size(F.filter(both, lambda g: g.isin(self.near_letters())))
+        return F.when(n == 0, F.lit(0.0)).otherwise(F.lit(float(self.costs["diff"])) * (n - close) + F.lit(float(self.costs["same"])) * close)
+
+    def near_letters(self) -> list[str]:
+        """Pairs of letters that share a group."""
+        return [a + b for a in self.group for b in self.group if set(self.group[a]) & set(self.group[b])]
 
     def normalized_distance(self, x: Column, y: Column) -> Column:
         most = self._most(x) + self._most(y)

@@ -49,12 +49,12 @@ def grams(s: Column, n: int, before: int, after: int) -> Column:
 
 #: What transcription tokenising ignores besides white space and numbers.
 IGNORED_MARKS, IGNORED_STRESS = r"\[\]/\\.,;:()|{}<>\"'\-+", "ˈˌːˑ‖‿"
-_IGNORED = r"^[\p{IsWhite_Space}\p{N}" + IGNORED_MARKS + IGNORED_STRESS + "]+$"
+IGNORED_PATTERN = r"^[\p{IsWhite_Space}\p{N}" + IGNORED_MARKS + IGNORED_STRESS + "]+$"
 
 
 def sounds(s: Column) -> Column:
     """Extended grapheme clusters of ``s`` but those made of ignored characters only."""
-    return F.filter(F.regexp_extract_all(s, F.lit(r"\X"), F.lit(0)), lambda g: ~g.rlike(_IGNORED))
+    return F.filter(F.regexp_extract_all(s, F.lit(r"\X"), F.lit(0)), lambda g: ~g.rlike(IGNORED_PATTERN))
 
 
 def letters(s: Column) -> Column:
