@@ -31,7 +31,8 @@ def over_pairs(pairs: Sequence[tuple | None], encode: Callable[[object], np.ndar
     for p in pairs:
         if p is not None and p not in place:
             place[p] = len(place)
-    symbols = [(encode(x), encode(y)) for x, y in place]
+    codes = {v: encode(v) for p in place for v in p}  # a string is part of many pairs
+    symbols = [(codes[x], codes[y]) for x, y in place]
     order = sorted(range(len(symbols)), key=lambda k: (len(symbols[k][0]), len(symbols[k][1])))
     out = np.zeros(len(symbols))
     start = 0
@@ -50,6 +51,13 @@ def over_pairs(pairs: Sequence[tuple | None], encode: Callable[[object], np.ndar
     return [None if p is None else float(out[place[p]]) for p in pairs]
 
 
+def alone(kernel: Kernel, x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """``kernel`` of each row with itself, every different row once."""
+    different, back = np.unique(np.column_stack([x, m]), axis=0, return_inverse=True)
+    y, n = different[:, :-1], different[:, -1]
+    return kernel(y, n, y, n)[back.ravel()]
+
+
 def code_points(s: str) -> np.ndarray:
     """Code points of ``s``."""
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)

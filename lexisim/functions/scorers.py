@@ -36,6 +36,14 @@ def _pair_udf(encode: Callable[[object], np.ndarray], kernel: kernels.Kernel) ->
     return F.arrow_udf(run, "double")
 
 
+def _unknown(tokens: Column, known: Callable[[Column], Column], scorer: str, kind: str, side: str) -> tuple[Column, Column]:
+    """Whether all ``tokens`` are known, and an error that names the first that is not, its place from 0 and its side."""
+    odd = F.filter(F.transform(tokens, lambda t, k: F.struct(t.alias("t"), k.alias("k"))), lambda p: ~known(p["t"]))
+    first = F.get(odd, F.lit(0))
+    said = F.concat(F.lit(f"{UnknownToken.__name__}: {scorer} knows no {kind} "), first["t"], F.lit(" at "), first["k"].cast("string"), F.lit(f" of {side}"))
+    return F.size(odd) == 0, F.raise_error(said)
+
+
 def _known_or_null(v: Column, x: Column, y: Column) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), v)
 
@@ -252,13 +260,10 @@ class Editex(Scorer):
     group: dict[str, list[int]] = field(default_factory=_letter_groups)
     strict: bool = True
 
-    def _checked(self, s: Column) -> Column:
+    def _checked(self, s: Column, side: str = "the string") -> Column:
         t = letters(s)
-        odd = F.filter(chars(t), lambda c: ~c.isin(*self.group) if self.group else F.lit(True))
-        if not self.strict:
-            return F.when(F.size(odd) == 0, t)
-        said = F.raise_error(F.concat(F.lit(f"{UnknownToken.__name__}: Editex knows no letter "), F.get(odd, F.lit(0))))
-        return F.when(F.size(odd) > 0, said.cast("string")).otherwise(t)
+        fine, error = _unknown(chars(t), lambda c: c.isin(*self.group) if self.group else F.lit(False), "Editex", "letter", side)
+        return F.when(fine, t) if not self.strict else F.when(~fine, error.cast("string")).otherwise(t)
 
     def _matrices(self) -> tuple[np.ndarray, np.ndarray]:
         same, diff = float(self.costs["same"]), float(self.costs["diff"])
@@ -275,11 +280,12 @@ class Editex(Scorer):
         return _pair_udf(lambda s: kernels.code_points(s) - 97, kernel)
 
     def distance(self, x: Column, y: Column) -> Column:
-        return self.kernel_udf()(self._checked(x), self._checked(y))
+        return self.kernel_udf()(self._checked(x, "x"), self._checked(y, "y"))
 
-    def _most(self, s: Column) -> Column:
+    def _most(self, s: Column, side: str = "the string") -> Column:
         """Cost of deleting all letters."""
-        t, n = self._checked(s), F.char_length(self._checked(s))
+        t = self._checked(s, side)
+        n = F.char_length(t)
         both = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(t, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
         close = F.size(F.filter(both, lambda g: g.isin(self.near_letters())))
         return F.when(n == 0, F.lit(0.0)).otherwise(F.lit(float(self.costs["diff"])) * (n - close) + F.lit(float(self.costs["same"])) * close)
@@ -289,7 +295,7 @@ class Editex(Scorer):
         return [a + b for a in self.group for b in self.group if set(self.group[a]) & set(self.group[b])]
 
     def normalized_distance(self, x: Column, y: Column) -> Column:
-        most = self._most(x) + self._most(y)
+        most = self._most(x, "x") + self._most(y, "y")
         return F.when(most == 0, F.lit(0.0)).otherwise(clip(self.distance(x, y) / most))
 
     def similarity(self, x: Column, y: Column) -> Column:
@@ -310,13 +316,10 @@ class Aline(Scorer):
     def to_dict(self) -> dict:
         return self.tables.to_dict()
 
-    def _checked(self, s: Column) -> Column:
+    def _checked(self, s: Column, side: str = "the string") -> Column:
         t = sounds(s)
-        odd = F.filter(t, lambda g: ~g.isin(*self.tables.sounds))
-        if not self.strict:
-            return F.when(F.size(odd) == 0, t)
-        said = F.raise_error(F.concat(F.lit(f"{UnknownToken.__name__}: Aline knows no sound "), F.get(odd, F.lit(0))))
-        return F.when(F.size(odd) > 0, said.cast("array<string>")).otherwise(t)
+        fine, error = _unknown(t, lambda g: g.isin(*self.tables.sounds), "Aline", "sound", side)
+        return F.when(fine, t) if not self.strict else F.when(~fine, error.cast("array<string>")).otherwise(t)
 
     def kernel_udf(self) -> Callable[[Column, Column], Column]:
         """The similarity of two arrays of sounds."""
@@ -332,13 +335,13 @@ class Aline(Scorer):
         align = kernels.local_alignment(float(costs["skip"]), swap, widen)
 
         def relative(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-            most = np.maximum(align(a, m, a, m), align(b, n, b, n))
+            most = np.maximum(kernels.alone(align, a, m), kernels.alone(align, b, n))
             return np.where(most == 0, 0.0, align(a, m, b, n) / np.where(most == 0, 1.0, most))
 
         return _pair_udf(encode, relative)
 
     def similarity(self, x: Column, y: Column) -> Column:
-        return self.kernel_udf()(self._checked(x), self._checked(y))
+        return self.kernel_udf()(self._checked(x, "x"), self._checked(y, "y"))
 
 
 SCORERS = {c.__name__: c for c in (Aline, BiSim, Editex, JaroWinkler, LCS, LCSuf, Levenshtein, NGram, Prefix)}

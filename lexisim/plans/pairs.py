@@ -28,7 +28,7 @@ def labelled_name_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def word_pairs(spark: SparkSession, folder: str, block: int = 5) -> DataFrame:
-    """Pairs of different English words of 3 to 12 letters that share their first ``block`` letters and differ by one in length.
+    """Pairs of different English words of ``block`` to 12 letters that share their first ``block`` letters and differ by one in length.
 
     An equi-join on the block, so the pairs grow with the blocks, not with the square of the words.
     """
