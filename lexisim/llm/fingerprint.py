@@ -2,14 +2,16 @@
 
 A k-mer of UTF-8 bytes is a closed syncmer if the smallest hash of its s-mers
 (leftmost of equals) is at its first or last place: a choice by content alone,
-so equal passages choose equal anchors wherever they stand. A fingerprint is the ``KEPT``
-smallest hashes of a text's anchors, each with the place of its first
-occurrence (in bytes), as hexadecimal text: ``size:hash+place...``.
+so equal passages choose equal anchors wherever they stand. An anchor that
+occurs again counts again: its second, third, ... occurrence is an anchor of
+its own, so a text's anchors are a multiset. A fingerprint is the ``KEPT``
+smallest hashes of a text's anchors, or all of them where ``kept`` is None,
+each with its place (in bytes), as hexadecimal text: ``size:hash+place...``.
 
 ``likeness`` compares two fingerprints: the anchors are matched over the
-smallest hashes of the union (a bottom-k estimate of their Jaccard
-similarity), and a match counts if its places agree with the others, that is
-if their shift is near the median shift.
+smallest hashes of the union (a bottom-k estimate of the Jaccard similarity of
+the multisets; exact with all anchors), and a match counts if its places agree
+with the others, that is if their shift is near the median shift.
 
 Defined cases: null texts are empty; texts under k bytes have one anchor, their
 whole; an empty text has an empty list (likeness 1 to another empty one, 0 to
@@ -64,8 +66,8 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, mix64(x)
 
 
-def sketches(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each row the KEPT smallest 32-bit anchor hashes, in order, and their places (in bytes)."""
+def sketches(data: np.ndarray, off: np.ndarray, kept: int | None = KEPT) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row the ``kept`` smallest 32-bit anchor hashes (all without), in order, and their places (in bytes)."""
     at, h = anchors(data, off)
     h = (h >> np.uint64(32)).astype(np.uint32)
     row = np.searchsorted(off, at, "right") - 1
@@ -80,18 +82,32 @@ def sketches(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.nda
     order = np.argsort(key, kind="stable")
     order = order[np.argsort(row[order], kind="stable")]
     row, key = row[order], key[order]
-    new = np.ones(len(key), bool)
-    if len(key):
-        new[1:] = (row[1:] != row[:-1]) | ((key[1:] >> np.uint64(32)) != (key[:-1] >> np.uint64(32)))
-    row, key = row[new], key[new]
+    # The occurrences of an anchor, in the order of the text, are told apart by number.
+    nth = np.arange(len(key)) - np.maximum.accumulate(np.where(_first(row, key), np.arange(len(key)), 0)) if len(key) else key.astype(np.int64)
+    again = np.flatnonzero(nth)
+    if len(again):
+        other = mix64((key[again] & ~np.uint64(0xFFFFFFFF)) + nth[again].astype(np.uint64))
+        key[again] = (other & ~np.uint64(0xFFFFFFFF)) | (key[again] & np.uint64(0xFFFFFFFF))
+        order = np.argsort(key, kind="stable")
+        order = order[np.argsort(row[order], kind="stable")]
+        row, key = row[order], key[order]
+        new = _first(row, key)  # two that share a hash by chance are one
+        row, key = row[new], key[new]
     edge = np.searchsorted(row, np.arange(len(length) + 1))
     out = []
     for a, b in zip(edge[:-1], edge[1:], strict=True):
-        part = key[a : min(b, a + KEPT)]
+        part = key[a : b if kept is None else min(b, a + kept)]
         out.append(((part >> np.uint64(32)).astype(np.uint32), (part & np.uint64(0xFFFFFFFF)).astype(np.int64)))
     return out
 
 
+def _first(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether each entry is the first of its row's equal hashes."""
+    new = np.ones(len(key), bool)
+    new[1:] = (row[1:] != row[:-1]) | ((key[1:] >> np.uint64(32)) != (key[:-1] >> np.uint64(32)))
+    return new
+
+
 def encode(sketch: tuple[np.ndarray, np.ndarray]) -> str:
     """A sketch as text: the number of anchors, then 8 hexadecimal digits of hash and 8 of place for each."""
     h, place = sketch
@@ -107,8 +123,8 @@ def decode(text: str) -> tuple[np.ndarray, np.ndarray]:
     return raw[:, :4].copy().view(">u4").ravel().astype(np.uint32), raw[:, 4:].copy().view(">u4").ravel().astype(np.int64)
 
 
-def likeness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
-    """0 to 1: share of the union's smallest anchors that both have at agreeing places."""
+def likeness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], kept: int | None = KEPT) -> float:
+    """0 to 1: share of the union's smallest anchors (all without ``kept``) that both have at agreeing places."""
     (a, p), (b, q) = x, y
     if not len(a) or not len(b):
         return float(len(a) == len(b))
@@ -117,8 +133,8 @@ def likeness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray])
     ranked = both[order]
     twin = np.flatnonzero(ranked[1:] == ranked[:-1])
     distinct = len(ranked) - len(twin)
-    # Lists below KEPT are complete, so the similarity is exact; else it is over the smallest of the union.
-    size = distinct if len(a) < KEPT and len(b) < KEPT else min(KEPT, distinct)
+    # Lists below ``kept`` are complete, so the similarity is exact; else it is over the smallest of the union.
+    size = distinct if kept is None or len(a) < kept and len(b) < kept else min(kept, distinct)
     # Rank among the distinct values of the union, for the pairs.
     rank = twin - np.arange(len(twin))
     twin = twin[rank < size]
@@ -129,23 +145,23 @@ def likeness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray])
     return float(np.count_nonzero(np.abs(shift - np.median(shift)) <= near) / size)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint of each row's text."""
+def fingerprints(docs: DataFrame, kept: int | None = KEPT) -> DataFrame:
+    """doc_id and fingerprint of each row's text; with all its anchors where ``kept`` is None."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_bytes(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(s) for s in _in_pieces(data, off)], pa.string())], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(s) for s in _in_pieces(data, off, kept=kept)], pa.string())], ["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def _in_pieces(data: np.ndarray, off: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _in_pieces(data: np.ndarray, off: np.ndarray, most: int = 1 << 19, kept: int | None = KEPT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     start, n = 0, len(off) - 1
     while start < n:
         stop = max(start + 1, int(np.searchsorted(off, off[start] + most, "right")) - 1)
-        yield from sketches(data[off[start] : off[stop]], off[start : stop + 1] - off[start])
+        yield from sketches(data[off[start] : off[stop]], off[start : stop + 1] - off[start], kept)
         start = stop
 
 
