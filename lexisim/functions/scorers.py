@@ -284,22 +284,24 @@ class Editex(Scorer):
 
     def _most(self, s: Column, side: str = "the string") -> Column:
         """Cost of deleting all letters."""
-        t = self._checked(s, side)
-        n = F.char_length(t)
-        both = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(t, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+        t = chars(self._checked(s, side))
+        n = F.size(t)
+        # Each letter with the next; the last has none and counts for nothing.
+        both = F.zip_with(t, F.slice(t, F.lit(2), F.greatest(n, F.lit(0))), lambda a, b: F.concat(a, b))
         close = F.size(F.filter(both, lambda g: g.isin(self.near_letters())))
-        return F.when(n == 0, F.lit(0.0)).otherwise(F.lit(float(self.costs["diff"])) * (n - close) + F.lit(float(self.costs["same"])) * close)
+        return F.when(n == 0, F.lit(0.0)).when(n > 0, F.lit(float(self.costs["diff"])) * (n - close) + F.lit(float(self.costs["same"])) * close)
 
     def near_letters(self) -> list[str]:
         """Pairs of letters that share a group."""
         return [a + b for a in self.group for b in self.group if set(self.group[a]) & set(self.group[b])]
 
     def normalized_distance(self, x: Column, y: Column) -> Column:
-        most = self._most(x, "x") + self._most(y, "y")
-        return F.when(most == 0, F.lit(0.0)).otherwise(clip(self.distance(x, y) / most))
+        # Bound once: neither side's letters nor the alignment are made anew for each branch.
+        both = F.array(F.struct(self.distance(x, y).alias("d"), (self._most(x, "x") + self._most(y, "y")).alias("m")))
+        return F.get(F.transform(both, lambda p: F.when(p["m"] == 0, F.lit(0.0)).otherwise(clip(p["d"] / p["m"]))), F.lit(0))
 
     def similarity(self, x: Column, y: Column) -> Column:
-        return clip(1 - self.normalized_distance(x, y))
+        return F.get(F.transform(F.array(self.normalized_distance(x, y)), lambda v: clip(1 - v)), F.lit(0))
 
 
 @dataclass

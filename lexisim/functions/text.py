@@ -44,7 +44,9 @@ def grams(s: Column, n: int, before: int, after: int) -> Column:
     """All windows of ``n`` code points of ``s``, padded with spaces."""
     padded = F.concat(F.lit(" " * before), s, F.lit(" " * after))
     last = F.char_length(padded) - (n - 1)
-    return F.when(last.isNull(), F.lit(None).cast(_NO_STRINGS)).when(last < 1, F.array().cast(_NO_STRINGS)).otherwise(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(padded, i, F.lit(n))))
+    # The padded string is bound once, not made anew for each window.
+    windows = F.get(F.transform(F.array(padded), lambda p: F.transform(F.sequence(F.lit(1), F.char_length(p) - (n - 1)), lambda i: F.substring(p, i, F.lit(n)))), F.lit(0))
+    return F.when(last.isNull(), F.lit(None).cast(_NO_STRINGS)).when(last < 1, F.array().cast(_NO_STRINGS)).otherwise(windows)
 
 
 #: What transcription tokenising ignores besides white space and numbers.
