@@ -19,8 +19,8 @@ and fails the base rules (fewer than ``MIN_WORDS`` words); rows that repeat
 count each time in the corpus and get the same verdict; a null ``doc_id`` is
 never trusted; a document is trusted if it has labels and all are 1; without
 trusted or without any documents every ratio is 0, so the base rules alone
-decide; with fewer than ``LABELLED`` documents of either kind the threshold is
-``THRESHOLD``. Further columns of the input are left out of the result (``score``)
+decide; with fewer than ``LABELLED`` documents of either kind, or where they
+can't be told apart, the threshold is ``THRESHOLD``. Further columns of the input are left out of the result (``score``)
 or carried through unchanged (``keep``).
 """
 
@@ -39,6 +39,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.08
 #: Different words to a bucket (above BUCKETS buckets), and labelled documents that fit a threshold.
 LOAD, LABELLED = 16, 20
+#: Share of trusted documents that a fitted threshold keeps, and least difference of shares that makes a fit.
+KEEP, PART = 0.999, 0.5
 #: Buckets (of some 40 bytes) and keys (8 bytes) that are sent to all tasks, at most.
 BROADCAST, FEW = 1 << 21, common.FEW
 #: Tasks that count n-grams, for each core of the cluster.
@@ -163,6 +165,8 @@ def _sums(rows: DataFrame, table: DataFrame, size: int, n: int) -> DataFrame:
 def fit_threshold(scores: DataFrame, labels: DataFrame) -> float:
     """The threshold with the largest share of trusted less share of others at or above it; the middle of equal ones.
 
+    It keeps a share of KEEP of the trusted at least. Where the shares then differ by less than PART, the labels are
+    not told apart by their n-grams (what a classifier has left of the rejected, for example): THRESHOLD.
     ``scores`` has doc_id, _n, _total and _held. A histogram by steps reaches the driver.
     """
     step = F.floor(F.when(F.col("good") == 1, F.col("_held")).otherwise(F.col("_total")) / F.col("_n") / SCALE * STEPS)
@@ -175,12 +179,14 @@ def fit_threshold(scores: DataFrame, labels: DataFrame) -> float:
     most, best, g, b = -1, [], goods, bads
     for at in range(min([*good, *bad]), max([*good, *bad]) + 1):  # g and b are at or above ``at``
         worth = g * bads - b * goods
+        if g < KEEP * goods:
+            break
         if worth > most:
             most, best = worth, [at]
         elif worth == most and best[-1] == at - 1:
             best.append(at)
         g, b = g - good.get(at, 0), b - bad.get(at, 0)
-    return best[len(best) // 2] / STEPS
+    return best[len(best) // 2] / STEPS if most >= PART * goods * bads else THRESHOLD
 
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

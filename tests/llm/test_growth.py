@@ -28,3 +28,12 @@ def test_large_tables_give_the_same_scores(spark, docs, labels, monkeypatch):
     monkeypatch.setattr(quality_rules, "FEW", 0)
     assert key(quality_rules.score(docs, labels)) == want
     assert quality_rules.keep(docs, labels).count() == kept
+
+
+def test_labels_that_ngrams_do_not_tell_apart_cost_no_clean_documents(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(60))
+    docs = spark.createDataFrame([(k, text()) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(200)], "doc_id long, quality int")
+    fitted = quality_rules._sums(quality_rules.with_base_counts(docs).drop("text"), *quality_rules.fit_ratios(docs, labels))
+    assert quality_rules.fit_threshold(fitted, labels) == quality_rules.THRESHOLD
