@@ -20,7 +20,8 @@ Two sets link when ``100 * common >= percent * union``.
 
 No pair is lost: every pair that could link and is not already connected gets
 verified in the second round. Buckets, classes and components are never
-gathered; hot shingles are salted (``HOT``) in both rounds. Texts that share a
+gathered; hot shingles (a bucket of more than ``HOT`` nodes, counted exactly
+where the sketch leaves it open) are salted in both rounds. Texts that share a
 hot shingle in their prefix but differ are still compared pair by pair, as far
 as sizes, places and histograms leave room.
 
@@ -47,7 +48,7 @@ from lexisim.llm.components import components
 
 #: Cells of the count sketch (a bounded broadcast) and bits of the filter on nodes (another).
 CELLS, BITS = 1 << 18, 1 << 23
-#: Rows of a shingle's bucket above which it is salted; members of a comparison block.
+#: Nodes of a shingle's bucket above which it is salted; members of a comparison block.
 HOT, MEMBERS = 200_000, 256
 #: Bins of a set's histogram, which bounds the common part of two sets from above.
 BINS = 128
@@ -427,6 +428,17 @@ def _bits_of(nodes: DataFrame) -> np.ndarray:
     return out
 
 
+def _salted(dealt: DataFrame) -> DataFrame:
+    """``dealt`` with the salts that the rows of each token's bucket ask for.
+
+    A cell of the sketch counts all its shingles, so in a large corpus every cell is hot and most buckets are small.
+    The buckets of hot cells are counted (where the rows are, first); those of more than HOT rows are salted.
+    """
+    hot = dealt.where("salts > 1").groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT)
+    hot = materialise(hot.select("token", F.expr(f"cast(m div {HOT} + 1 as int)").alias("_salts")), "hot")
+    return dealt.join(few(hot), "token", "left").withColumn("salts", F.coalesce("_salts", F.lit(1))).drop("_salts")
+
+
 def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, node, comp and component_id of each row."""
     spark = docs.sparkSession
@@ -440,6 +452,8 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     nodes = rows.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "prefix", "salts")])
     dealt = nodes.select("node", F.col("n_shingles").cast("int").alias("n"), "salts", F.posexplode("prefix").alias("pos", "token"))
     dealt = dealt.withColumn("salts", F.coalesce(F.get("salts", F.col("pos")), F.lit(1)))
+    if int(sketch.value.max()) >= HOT:  # else no cell, so no shingle, is hot
+        dealt = _salted(dealt)
     dealt = dealt.select("token", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "salts", "node", "n", "pos")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "pos", "n", "node")
