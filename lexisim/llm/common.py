@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised kernel call sees (one longer text may exceed it).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Bytes and rows that an Arrow batch between the JVM and Python holds.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 4000
 

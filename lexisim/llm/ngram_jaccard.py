@@ -50,6 +50,8 @@ from lexisim.llm.components import components
 CELLS, BITS = 1 << 18, 1 << 23
 #: Nodes of a shingle's bucket above which it is salted; members of a comparison block.
 HOT, MEMBERS = 200_000, 256
+#: Pairs of a bucket that are looked at side by side (some 100 bytes each).
+STEP = 1 << 18
 #: Bins of a set's histogram, which bounds the common part of two sets from above.
 BINS = 128
 _K1, _K2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -208,9 +210,9 @@ def _cross(percent: int):
             np.cumsum(many, out=total[1:])
             start = 0
             while start < len(many):
-                stop = max(start + 1, int(np.searchsorted(total, total[start] + (1 << 20), "right")) - 1)
-                for low in range(0, int(total[stop] - total[start]), 1 << 21):  # one row may have more partners than that
-                    flat = np.arange(low, min(low + (1 << 21), int(total[stop] - total[start]))) + total[start]
+                stop = max(start + 1, int(np.searchsorted(total, total[start] + STEP, "right")) - 1)
+                for low in range(0, int(total[stop] - total[start]), STEP):  # one row may have more partners than that
+                    flat = np.arange(low, min(low + STEP, int(total[stop] - total[start]))) + total[start]
                     i = np.searchsorted(total, flat, "right") - 1
                     j = stop_run[i] + flat - total[i]
                     need = (percent * (n[i] + n[j]) + 99 + percent) // (100 + percent)

@@ -36,7 +36,7 @@ from lexisim.llm.common import bound_batches, chunks, mix64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED, SHIFT = 1.0, 29, 2.7
 #: Text bytes that are encoded side by side; arcs of lattices (of 13 bytes) that a worker keeps.
-PIECE, ARCS = 1 << 19, 1 << 22
+PIECE, ARCS = 1 << 18, 1 << 22
 MARK = 0x2581  # stands for a space in pieces
 _ESCAPED = 0x110000  # a marker character of the text itself, while encoding
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
