@@ -52,8 +52,9 @@ CELLS, BITS = 1 << 18, 1 << 23
 HOT, MEMBERS = 200_000, 256
 #: Pairs of a bucket that are looked at side by side (some 100 bytes each).
 STEP = 1 << 18
-#: Bins of a set's histogram, which bounds the common part of two sets from above.
-BINS = 128
+#: Bins of a set's histogram, which bounds the common part of two sets from above: BINS, doubled until a bin has
+#: PER_BIN shingles at most (with many in a bin, unlike sets look alike).
+BINS, PER_BIN = 128, 8
 _K1, _K2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -99,6 +100,36 @@ def _nodes(x: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return mix64(_sums(mix64(x ^ _K1), edge) + mix64(_sums(mix64(x ^ _K2), edge) + size)).view(np.int64)
 
 
+def histograms(x: np.ndarray, edge: np.ndarray) -> list[bytes]:
+    """How many shingles of each row fall into each bin, as 16-bit numbers; the number of bins follows the row's size."""
+    size = np.diff(edge)
+    width = np.full(len(size), BINS)
+    while (small := width * PER_BIN < size).any():
+        width[small] *= 2
+    base = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(width, out=base[1:])
+    row = np.repeat(np.arange(len(size)), size)
+    bins = np.bincount(base[row] + ((x >> np.uint64(24)).astype(np.int64) & (width[row] - 1)), minlength=int(base[-1]))
+    raw = np.minimum(bins, 65535).astype(np.uint16).tobytes()
+    return [raw[2 * a : 2 * b] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+def common_at_most(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """For each pair of histograms, the most shingles that both sets can have (2**62 where a bin is at its limit)."""
+    out = np.zeros(len(x), np.int64)
+    kinds = np.array([len(a) << 32 | len(b) for a, b in zip(x, y, strict=True)], np.int64)
+    for kind in np.unique(kinds):
+        at = np.flatnonzero(kinds == kind)
+        full, parts = np.zeros(len(at), bool), []
+        bins = min(int(kind) >> 32, int(kind) & 0xFFFFFFFF) // 2
+        for side in (x, y):
+            h = np.frombuffer(b"".join(side[k] for k in at.tolist()), np.uint16).reshape(len(at), -1)
+            full |= (h == 65535).any(1)
+            parts.append(h.reshape(len(at), -1, bins).sum(1, dtype=np.int64))  # bins that are one in the shorter one
+        out[at] = np.where(full, 1 << 62, np.minimum(*parts).sum(1))
+    return out
+
+
 def _count_cells(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
@@ -141,11 +172,7 @@ def _describe(n: int, percent: int, sketch: Broadcast):
                 np.cumsum(np.bincount(row[salted], minlength=len(size)), out=many[1:])
                 salts = pa.ListArray.from_arrays(pa.array(many), pa.array(salts[salted].astype(np.int32)))
                 node = pa.array(_nodes(x, edge), pa.int64(), mask=size == 0)
-                row = np.repeat(np.arange(len(size)), size)
-                bins = np.bincount(row * BINS + (x >> np.uint64(24)).astype(np.int64) % BINS, minlength=len(size) * BINS)
-                bins = np.minimum(bins, 65535).astype(np.uint16).tobytes()
-                bins = pa.array([bins[k : k + 2 * BINS] for k in range(0, len(bins), 2 * BINS)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), node, prefix, salts, bins], ["doc_id", "n_shingles", "node", "prefix", "salts", "bins"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), node, prefix, salts, pa.array(histograms(x, edge), pa.binary())], ["doc_id", "n_shingles", "node", "prefix", "salts", "bins"])
 
     return run
 
@@ -339,10 +366,9 @@ def _may_link(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("x", "y"))
-            both = np.minimum(x, y).astype(np.int64).sum(1)
             n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
-            room = (both >= (percent * (n + m) + 99 + percent) // (100 + percent)) | (np.minimum(x, y) == 65535).any(1)
+            both = common_at_most(*(batch.column(c).to_pylist() for c in ("x", "y")))
+            room = both >= (percent * (n + m) + 99 + percent) // (100 + percent)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(room)) for c in ("a", "b")], ["a", "b"])
 
     return run

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 from test_texts import brute_components
 
 from lexisim.llm import ngram_jaccard
@@ -30,3 +31,18 @@ def test_full_sketch_salts_large_buckets_only(spark, monkeypatch):
         size[r["token"]] += 1
         said[r["token"]] = r["salts"]
     assert seen and size == {1: 12, 2: 5, 3: 2} and said == {1: 3, 2: 1, 3: 1}
+
+
+def test_histograms_bound_the_common_part():
+    rng = np.random.default_rng(4)
+    for size in (3, 700, 5000, 20_000):
+        one = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for shared in (0, size // 2, size):
+            two = np.concatenate([one[:shared], rng.integers(0, 1 << 63, size + size // 8 - shared, dtype=np.uint64)])
+            x, y = (ngram_jaccard.histograms(z, np.array([0, 0, len(z)]))[1] for z in (one, two))
+            most = int(ngram_jaccard.common_at_most([x], [y])[0])
+            assert shared <= most <= size
+            assert shared or size < 100 or most < 0.85 * size  # unlike sets are told apart at every size
+    assert ngram_jaccard.common_at_most([], []).tolist() == []
+    hot = np.zeros(70_000, np.uint64)
+    assert ngram_jaccard.common_at_most(*[ngram_jaccard.histograms(hot, np.array([0, len(hot)]))] * 2)[0] == 1 << 62
