@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexisim.functions.scorers import LCS, Aline, BiSim, Editex, JaroWinkler, LCSuf, Levenshtein, NGram, Prefix
+from lexisim.functions.text import six_places
 from lexisim.operators.matrix import score_columns
 from lexisim.operators.split import split_rows
 from lexisim.plans.pairs import labelled_name_pairs, table
@@ -34,8 +35,8 @@ def neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scored(pairs: DataFrame, **values) -> DataFrame:
-    six = lambda v: F.round(F.round(v.cast("double"), 9), 6)
-    return pairs.select("x_1", "x_2", *[six(v).alias(k) for k, v in values.items()])
+    scored = pairs.select("x_1", "x_2", *[v.cast("double").alias(k) for k, v in values.items()])
+    return scored.select("x_1", "x_2", *[six_places(F.col(k)).alias(k) for k in values])
 
 
 def _two(scorer) -> object:
