@@ -50,7 +50,7 @@ def neighbour_edits(spark: SparkSession, folder: str) -> DataFrame:
 
 def neighbour_affixes(spark: SparkSession, folder: str) -> DataFrame:
     """Common prefix and suffix over neighbouring words, one of them whatever the case."""
-    return _scored(neighbours(spark, folder), prefix=_two(Prefix()), lcsuf=_two(LCSuf(case_insensitive=True)))
+    return _scored(neighbours(spark, folder), prefix=Prefix().kernel_udf()(F.col("x_1"), F.col("x_2")), lcsuf=_two(LCSuf(case_insensitive=True)))
 
 
 def neighbour_grams(spark: SparkSession, folder: str) -> DataFrame:
